@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that the quality rules keep, with its score."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.kept_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has near copies, with its group."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op2_quality, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
