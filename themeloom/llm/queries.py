@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.kept_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every confirmed secret of every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has near copies, with its group."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op5_secrets, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
