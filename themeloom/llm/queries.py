@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import mixing, packing, quality, secrets, simhash
+
+#: Sources by name, the weight of each further one, and the budget in tokens of the whole table.
+TARGETS = {"targets": {"src0": 0.12, "src1": 0.10, "src2": 0.02}, "other": 0.045, "total": 1.0}
 
-from . import quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +24,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.kept_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 2,048 tokens that hold all documents."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every confirmed secret of every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -29,9 +39,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that the target weights take, a row for each time."""
+    weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
+    chosen = mixing.mix(table(spark, sf_dir, "documents"), **TARGETS, weights=weights)
+    return chosen.select("doc_id", "source", mixing.token_estimate(F.col("text")).alias("tokens"), "epoch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op5_secrets, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_packing, op5_secrets, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.mix_sql(**TARGETS)}
