@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 
 from themeloom.llm import mixing as M
 
@@ -11,6 +12,10 @@ SF = "/root/testdata/sf0.01"
 TARGETS = {"src0": 3.0, "src1": 1.0, "src2": 0.2}
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute(rows, targets, total, weights, other=0.0, unlabelled=0.5, seed=17):
     """rows: (doc_id, text, source); gives (doc_id, text, epoch) with counts."""
     tokens = lambda t: math.ceil(len(t or "") / 4)
@@ -28,7 +33,7 @@ def brute(rows, targets, total, weights, other=0.0, unlabelled=0.5, seed=17):
         def key(r):
             u = (int(hashlib.md5(f"{seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) + 1) / (1 << 52)
             w = weights.get(r[0], unlabelled)
-            return (-math.log(u) / w if w > 0 else math.inf, r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+            return (-math.log(u) / w if w > 0 else math.inf, r[0] is not None, r[0] or 0, tokens(r[1]), signed(xxhash.xxh64(r[1], seed=42).intdigest()) if r[1] else 0)
 
         fits = True
         for r in sorted(x, key=key):

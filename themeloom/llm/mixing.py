@@ -15,8 +15,8 @@ u comes from a hash of seed and ``doc_id``, so a run can be repeated anywhere.
 Null sources are a source of their own. A null or empty text has no tokens: it
 comes with each complete epoch, and with the fraction if its key lies before the
 cut. A null ``doc_id`` hashes as an empty one. Weights that are null, zero or
-negative put a document behind all others. Equal keys are ordered by doc_id and
-then text; repeated rows are documents of their own. Sources without a target
+negative put a document behind all others. Equal keys are ordered by doc_id,
+then tokens, then a hash of the text; repeated rows are documents of their own. Sources without a target
 weight get ``other``; an empty table gives an empty result. Columns that are
 called like the ones used here are safe: inner names begin with ``__``. A column
 ``epoch`` of the input comes back as ``__epoch``.
@@ -49,28 +49,32 @@ def quality_weights(labels: DataFrame, good: float = 1.0, bad: float = 0.25) ->
     return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.when(F.max("quality") > 0, good).otherwise(bad).alias("__weight"))
 
 
-def _keyed(docs: DataFrame, weights: DataFrame | None, unlabelled: float, seed: int) -> DataFrame:
-    """docs with ``__source, __tokens, __key, __bin``."""
+def _keyed(docs: DataFrame, weights: DataFrame | None, unlabelled: float, seed: int, tokens: Column) -> DataFrame:
+    """docs with ``__source, __tokens, __key, __bin, __hash``."""
+    docs = docs.withColumn("__tokens", tokens)
     if weights is not None:
-        docs = docs.join(weights, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+        # weights grow with the documents, so they are never broadcast
+        docs = docs.join(weights.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     weight = F.coalesce(F.col("__weight"), F.lit(unlabelled)) if weights is not None else F.lit(unlabelled)
     key = F.when(weight > 0, -F.log(uniform(F.col("doc_id"), seed)) / weight).otherwise(F.lit(float("inf")))
-    docs = docs.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")), "__tokens": token_estimate(F.col("text")), "__key": key})
+    docs = docs.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")), "__key": key, "__hash": F.xxhash64("text") if "text" in docs.columns else F.lit(0)})
     # monotone in the key, and even where keys are dense
-    return docs.withColumn("__bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("__key"))))).cast("int")).drop("__weight")
+    docs = docs.withColumn("__bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("__key"))))).cast("int")).drop("__weight")
+    return stored(docs, "keyed") if weights is not None else docs
 
 
-def mix(docs: DataFrame, targets: dict[str, float], total: float = 1.0, weights: DataFrame | None = None, other: float = 0.0, unlabelled: float = 0.5, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, float], total: float = 1.0, weights: DataFrame | None = None, other: float = 0.0, unlabelled: float = 0.5, seed: int = 17, tokens: Column | None = None) -> DataFrame:
     """The documents chosen, a row for each time one is taken: their columns and ``epoch``.
 
     ``targets`` weighs the sources by name, and ``other`` is the weight of each
     further source; weights count relative to those of the sources that have
     tokens. ``total`` is the budget as a multiple of the tokens of the whole table.
+    ``tokens`` counts a document's tokens; a table that has them needs no ``text``.
     ``epoch`` counts from 1; the fraction's is one more than the complete ones.
     """
     if "epoch" in docs.columns:
         docs = docs.withColumnRenamed("epoch", "__epoch")
-    keyed = _keyed(docs, weights, unlabelled, seed)
+    keyed = _keyed(docs, weights, unlabelled, seed, token_estimate(F.col("text")) if tokens is None else tokens)
     bins = stored(keyed.groupBy("__source", "__bin").agg(F.sum("__tokens").alias("tokens")), "bins")
     target = F.lit(float(other))
     for name, value in targets.items():
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, targets: dict[str, float], total: float = 1.0, weights:
     running = bins.join(sources, "__source").withColumn("upto", F.sum("tokens").over(Window.partitionBy("__source").orderBy("__bin")))
     cut = running.groupBy("__source", "__epochs", "rest").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), F.col("__bin"))), F.lit(BINS)).alias("__cut"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("before"))
     cut = stored(cut, "cut")
-    order = Window.partitionBy("__source").orderBy("__key", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("__source").orderBy("__key", "doc_id", "__tokens", "__hash").rowsBetween(Window.unboundedPreceding, 0)
     edge = keyed.join(cut.select("__source", "__cut", "rest", "before").withColumnRenamed("__source", "__of"), (F.col("__source") == F.col("__of")) & (F.col("__bin") == F.col("__cut"))).drop("__of")
     edge = edge.withColumn("__sum", F.sum("__tokens").over(order) + F.col("before"))
     # the order ends at the first document that doesn't fit

@@ -42,8 +42,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the target weights take, a row for each time."""
     weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
-    chosen = mixing.mix(table(spark, sf_dir, "documents"), **TARGETS, weights=weights)
-    return chosen.select("doc_id", "source", mixing.token_estimate(F.col("text")).alias("tokens"), "epoch")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_estimate(F.col("text")).alias("tokens"))
+    return mixing.mix(docs, **TARGETS, weights=weights, tokens=F.col("tokens"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
