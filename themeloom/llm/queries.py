@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, simhash
+from . import fingerprints, langid, licenses, mixing, packing, quality, secrets, simhash, toxicity
 
 #: Sources by name, the weight of each further one, and the budget in tokens of the whole table.
 TARGETS = {"targets": {"src0": 0.12, "src1": 0.10, "src2": 0.02}, "other": 0.045, "total": 1.0}
@@ -29,11 +29,34 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that is found toxic."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every confirmed secret of every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document, with features ranked by the whole corpus."""
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.fingerprint(docs, fingerprints.histogram(docs)).select("doc_id", "features", "digest")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family and language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license that a document grants."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has near copies, with its group."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_packing, op5_secrets, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_fingerprints, op7_langid, op8_licenses, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
