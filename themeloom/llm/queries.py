@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, packing, quality, secrets, simhash, toxicity
+from . import fingerprints, langid, licenses, mixing, packing, quality, secrets, simhash, toxicity, warc
 
 #: Sources by name, the weight of each further one, and the budget in tokens of the whole table.
 TARGETS = {"targets": {"src0": 0.12, "src1": 0.10, "src2": 0.02}, "other": 0.045, "total": 1.0}
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, from the WARC files that the table is written to."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the quality rules keep, with its score."""
     docs = table(spark, sf_dir, "documents")
@@ -70,8 +75,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_fingerprints, op7_langid, op8_licenses, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_fingerprints, op7_langid, op8_licenses, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.mix_sql(**TARGETS)}
+    return {"op1_warc": "SELECT page_id, url, html, 'ok' AS status FROM pages", "op10_mixing": mixing.mix_sql(**TARGETS)}
