@@ -20,11 +20,15 @@ def tokens(text: Column, pattern: str = WORD2, stopwords: Collection[str] = (),
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """The runs of n words, joined by spaces."""
+    """The runs of n words, joined by spaces. ``words`` should be a column of the table: it is read n times."""
     if n == 1:
         return words
-    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = F.size(words) - (n - 1)
+    shifted = [F.slice(words, i, F.greatest(runs, F.lit(0))) for i in range(1, n + 1)]
+    out = shifted[0]
+    for more in shifted[1:]:
+        out = F.zip_with(out, more, lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def grams(words: Column, most: int = 2) -> Column:

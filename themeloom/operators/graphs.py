@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+from .order import around, ranked
+
 BLOCK_ROWS = 1024
 GRAPH_TYPES = ("knn", "mutual_knn", "snn", "hybrid")
 
@@ -110,17 +113,18 @@ def semantic(vectors: DataFrame, k: int = 15, metric: str = "cosine", kind: str
     """The graph of one kind over vectors; an unknown kind counts as hybrid. k is at most the number of other rows."""
     n = vectors.count()
     k = max(1, min(k, n - 1))
-    near = knn(vectors, k, metric).persist()
+    near = stored(knn(vectors, k, metric), "neighbours")
     make = {"knn": undirected, "mutual_knn": mutual, "snn": lambda x: shared(x, k)}.get(kind, lambda x: hybrid(x, k, snn_weight))
     return make(near)
 
 
 def lexical(weights: DataFrame, k: int = 15) -> DataFrame:
     """The mutual graph over TF-IDF rows ``id, term, weight``."""
+    weights = stored(weights, "weights")
     vocabulary = weights.select("term").distinct()
-    numbered = vocabulary.withColumn("no", F.row_number().over(Window.orderBy("term")) - 1)
+    numbered = ranked(vocabulary, "term").withColumnRenamed("rank", "no")
     dims = max(1, vocabulary.count())
-    rows = weights.join(numbered, "term").groupBy("id").agg(F.collect_list("no").alias("at"), F.collect_list("weight").alias("v"))
+    rows = stored(weights.join(numbered, "term").groupBy("id").agg(F.collect_list("no").alias("at"), F.collect_list("weight").alias("v")), "rows")
     return mutual(knn(rows, k, dims=dims))
 
 
@@ -147,8 +151,7 @@ def numeric_edges(rows: DataFrame, column: str, k: int = 15, least: float = 0.8)
     if n < 2 or high - low < 1e-10:
         return rows.sparkSession.createDataFrame([], "src long, dst long, w double")
     k = min(k, n - 1)
-    around = Window.orderBy("x", "id").rowsBetween(-k, k)
-    near = valid.withColumn("x", (F.col("x") - low) / (high - low)).withColumn("around", F.collect_list(F.struct("id", "x")).over(around))
+    near = around(ranked(valid.withColumn("x", (F.col("x") - low) / (high - low)), "x", "id"), k, ["id", "x"])
     near = near.select(F.col("id").alias("src"), F.col("x").alias("mine"), F.explode("around").alias("n")).where("src <> n.id")
     near = near.select("src", F.col("n.id").alias("dst"), F.abs(F.col("mine") - F.col("n.x")).alias("apart"))
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("apart", "dst"))).where((F.col("place") <= k) & (1 - F.col("apart") > least))

@@ -154,7 +154,7 @@ def drop_small(labels: DataFrame, least: int = 5) -> DataFrame:
 
 def over_time(rows: DataFrame, unit: str = "month") -> DataFrame:
     """``period, topic, n, share`` from ``ts, topic``: counts by calendar period, with zeros, and percent of the period."""
-    counts = rows.where(F.col("topic") != OUTLIER).groupBy(F.date_trunc(unit, "ts").alias("period"), "topic").agg(F.count("*").alias("n"))
+    counts = rows.where(F.col("topic").cast("string") != str(OUTLIER)).groupBy(F.date_trunc(unit, "ts").alias("period"), "topic").agg(F.count("*").alias("n"))
     grid = counts.select("period").distinct().crossJoin(counts.select("topic").distinct())
     rows = grid.join(counts, ["period", "topic"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("period")))
