@@ -46,9 +46,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of every document, with features ranked by the whole corpus."""
+    """Every document with the benchmark items and the other documents that its digest overlaps, features ranked by the whole corpus."""
     docs = table(spark, sf_dir, "documents")
-    return fingerprints.fingerprint(docs, fingerprints.histogram(docs)).select("doc_id", "features", "digest")
+    return fingerprints.matches(docs, fingerprints.histogram(docs), table(spark, sf_dir, "benchmark"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
