@@ -98,3 +98,20 @@ def test_odd_rows(spark):
     by = {(r.doc_id, r.text, r.n_chars, r.kind) for r in clean.collect()}
     assert by == {(1, None, 5, "a"), (2, "", 5, "b"), (3, "x [signed_token] " * 2, 34, None), (None, "y " * 400_000 + "[signed_token]", 800_014, "d")}
     assert S.scan(docs.limit(0)).count() == 0 == S.redacted(docs.limit(0)).count()
+
+
+def test_every_text_with_findings_is_hinted():
+    import pyarrow as pa
+
+    key, small = "9f86d081884c7d659a2f", ".".join([url64(b'{"alg":"none"}'), url64(b"{}"), "a" * 16])
+    names = ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "auth", "credential", "private_key", "private-key", "PrivateKey"]
+    texts = [f"{before}{name}{after}{sign}{key}" for before in ("", "my_", "X-") for name in names for after in ("", "_prod", "-a-2", '"') for sign in ("=", ": ", " => '", "\u2003:=\u00a0\t\v \"")]
+    texts += ["SECRET_KEY=" + key, "token_prod = " + key, "auth-header:" + key, "cRedent\u0131al=" + key, "pa\u017f\u017fword=" + key, small, f"x {small}.", "a_AKIA" + "A" * 16, checked()]
+    assert all(S.find(t) for t in texts)
+    assert S.hinted(pa.array([*texts, None])).to_pylist() == [True] * len(texts) + [False]
+
+
+def test_scan_and_redaction_reach_short_values(spark):
+    docs = spark.createDataFrame([(1, "pwd=9f86d081884c7d659a2f"), (2, "SECRET_KEY=9f86d081884c7d659a2f"), (3, "api-key: none")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.start) for r in S.scan(docs).collect()) == [(1, 4), (2, 11)]
+    assert sorted(r.text for r in S.redacted(docs).collect()) == ["SECRET_KEY=[assigned_key]", "api-key: none", "pwd=[assigned_key]"]
