@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .mixing import CHARS_PER_TOKEN, token_estimate
 from .store import stored
+from .text import whole
 
 WINDOW, OPEN = 2048, 32
 #: Leftover windows that one merging task takes.
@@ -109,7 +110,7 @@ class _Rows:
 
 def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN, texts: bool = False) -> DataFrame:
     """``window_id, doc_ids, starts, lengths, tokens`` of every window, and ``texts`` if wanted; the arrays hold a place for each piece, starts and lengths in tokens."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_estimate(F.col("text")).alias("n"), *(["text"] if texts else [])).where("n > 0")
+    rows = docs.select(whole("doc_id"), token_estimate(F.col("text")).alias("n"), *(["text"] if texts else [])).where("n > 0")
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, out = Packer(window, open_windows), _Rows(texts, 0)

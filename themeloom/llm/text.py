@@ -9,11 +9,14 @@ Null texts count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right, insort
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 WORD = "[a-z0-9_\u0080-\U0010ffff]+"
 #: Bytes of text that a kernel takes at once; a longer document is a slice of its own.
@@ -60,6 +63,11 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * q[start] ^ (end - start).astype(np.uint64))
 
 
+def whole(name: str) -> Column:
+    """An id as a long; what isn't a whole number counts as null."""
+    return F.col(name).try_cast("long").alias(name)
+
+
 class Slice:
     """The bytes of some documents side by side: data, and each document's start and end."""
 
@@ -114,3 +122,13 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def disjoint(spans: Iterable[tuple]) -> list[tuple]:
+    """Of spans ``start, end, ...`` in order of preference, those that overlap none before them; by place."""
+    out: list[tuple] = []
+    for x in spans:
+        at = bisect_right(out, x[0], key=lambda y: y[0])
+        if (not at or out[at - 1][1] <= x[0]) and (at == len(out) or x[1] <= out[at][0]):
+            insort(out, x, key=lambda y: y[0])
+    return out
