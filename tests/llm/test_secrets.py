@@ -1,6 +1,7 @@
 import base64
 import json
 import random
+import re
 import string
 import zlib
 
@@ -88,6 +89,76 @@ def test_every_token_of_the_table_is_found_and_nothing_else(spark):
     assert len(want) > 100 and got == want
 
 
+def brute(text):
+    """Every confirmed secret of a text, by trying what lies between characters that a candidate can't have."""
+    out = []
+    runs = lambda chars: [(m.start(), m.end()) for m in re.finditer(f"[{chars}]+", text)]
+    at = text.find("-----BEGIN ")
+    while at >= 0:
+        close = text.find("-----", at + 11)
+        name = text[at + 11 : close]
+        last = text.find(f"-----END {name}-----", close)
+        if close > 0 and last > 0 and name.endswith("PRIVATE KEY"):
+            data = S.decode64(text[close + 5 : last])
+            if data and (kind := S.ssh_key(data) if "OPENSSH" in name else S.der_key(data)):
+                out.append((at, last + len(f"-----END {name}-----"), "private_key", kind))
+        at = text.find("-----BEGIN ", at + 1)
+    for i, j in runs("A-Za-z0-9_.-"):
+        parts, edge = text[i:j].split("."), i
+        for k, part in enumerate(parts):
+            if len(parts) >= k + 3 and len(part) >= 8 and len(parts[k + 1]) >= 2 and len(parts[k + 2]) >= 16 and (alg := S.signed_header(part, parts[k + 1])):
+                out.append((edge, edge + sum(map(len, parts[k : k + 3])) + 2, "signed_token", alg))
+            edge += len(part) + 1
+    for i, j in runs("A-Za-z0-9+/_-"):
+        data = bytes.fromhex(text[i:j]) if S.HEX.fullmatch(text[i:j]) and (j - i) % 2 == 0 else S.decode64(text[i:j])
+        pad = next(k for k in range(3) if k == 2 or text[j + k : j + k + 1] != "=")
+        if j - i >= 32 and text[j + pad : j + pad + 1] != "=" and data and (kind := S.der_key(data) or S.ssh_key(data)):
+            out.append((i, j + pad, "encoded_key", kind))
+        before = text[max(0, i - 200) : i]
+        name = re.search(r"""(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)(?:[_-][a-z0-9]+)*["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?$""", before)
+        if j - i >= 16 and name and (kind := S._assigned(text[i : j + pad])):
+            out.append((i, j + pad, "assigned_key", kind))
+    for i, j in runs("A-Za-z0-9_"):
+        word = text[i:j]
+        if len(word) == 40 and word[:4] in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"):
+            value = 0
+            for c in word[34:]:
+                value = value * 62 + (string.digits + string.ascii_uppercase + string.ascii_lowercase).index(c)
+            if value == zlib.crc32(word[4:34].encode()):
+                out.append((i, j, "checksummed_token", word[:3]))
+    out.sort(key=lambda x: (x[0] - x[1], S.KINDS.index(x[2]), x[0]))
+    kept = []
+    for x in out:
+        if all(x[1] <= y[0] or x[0] >= y[1] for y in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
+def test_scan_equals_brute_force(spark):
+    """The whole table and texts with a secret of each kind put into them, without the hint."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text for r in docs}
+    planted = [pem("RSA PRIVATE KEY", PKCS1), pem("OPENSSH PRIVATE KEY", SSH), JWT, checked(), base64.b64encode(SEC1).decode(), SEC1.hex(), "my_token_x := '9f86d081884c7d659a2f'", "api-key=" + base64.b64encode(rng.randbytes(24)).decode(), pem("PRIVATE KEY", PKCS8[:-1])]
+    for n, text in enumerate([r.text for r in docs][:400]):
+        at = rng.randrange(len(text) + 1)
+        texts[10**6 + n] = f"{text[:at]} {planted[n % len(planted)]}\n{text[at:]}"
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for r in S.scan(rows).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.kind, r.detail))
+    want = {i: found for i, t in texts.items() if (found := brute(t))}
+    assert len(want) > 300 and {i: sorted(x) for i, x in got.items()} == want
+
+
+@pytest.mark.parametrize("shape", ["a-", "token-", "token=", "password_a=", "-----BEGIN PRIVATE KEY-----\nA: ", "-----BEGIN PRIVATE KEY----- ", "a.", "aaaaaaaa.bb.", "_", "x=> ", "token = 9f86d081884c7d659a2f\n", JWT + " "])
+def test_long_texts_take_time_in_proportion(shape):
+    import time
+
+    began = time.process_time()
+    S.find((shape * 400_000)[:400_000])
+    assert time.process_time() - began < 8, "a search in the square of this length takes minutes"
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 5, "a"), (2, "", 5, "b"), (3, f"x {JWT} " * 2, None, None), (3, f"x {JWT} " * 2, None, None), (None, "y " * 400_000 + JWT, 5, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, kind string")

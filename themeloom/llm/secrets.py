@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import disjoint, whole
+
 KINDS = ("private_key", "signed_token", "checksummed_token", "access_key_id", "encoded_key", "assigned_key")
 
 #: What any candidate must contain, for the scan that most texts end with; RE2 syntax. Each expression below has a part here that
@@ -38,12 +40,16 @@ HINT = (
     r"|(?i:password|passwd|pwd|secret|token|ap[iİı][_-]?key|access[_-]?key|auth|credent[iİı]al|pr[iİı]vate[_-]?key)(?i:[_-][a-z0-9İı]+)*[^A-Za-z0-9+/_-]{0,5}[:=][^A-Za-z0-9+/_-]{0,6}[A-Za-z0-9+/_-]{16}"
 )
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*((?:[A-Za-z-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+#: A header line may not hold the next beginning, so that no part of a text is searched more than once or twice.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[A-Za-z-]+: (?:(?!-----BEGIN)[^\n])*+\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
 CHECKED = re.compile(r"(?<![A-Za-z0-9_])(gh[pousr])_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
-ASSIGNED = re.compile(r"(?i)\b(?:[a-z0-9]+[_-])*(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)(?:[_-][a-z0-9]+)*[\"']?\s{0,4}(?:=>|:=|[:=])\s{0,4}[\"']?([A-Za-z0-9+/_-]{16,}={0,2})(?![A-Za-z0-9+/=_-])")
+#: What is assigned, with the sign before it; the name is looked for backwards from the sign, as a name of many parts would else be searched once for each part.
+VALUE = re.compile(r"(?:=>|:=|[:=])(?=\s{0,4}[\"']?([A-Za-z0-9+/_-]{16,}+={0,2}+)(?![A-Za-z0-9+/=_-]))")
+NAME = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)(?=[_-]|$)")
+_PART = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789İıſK_-")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _BASE62 = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
 KEY_BYTES = frozenset((8, 9, 10, 12, 16, 20, 24, 30, 32, 40, 48, 64))
@@ -163,6 +169,22 @@ def _assigned(value: str) -> str | None:
     return f"base64_{len(data) * 8}" if data and len(data) >= 12 and random_bytes(data) else None
 
 
+def _named(text: str, sign: int) -> bool:
+    """Whether the name before a sign has a part that says it is secret, with single separators and whole parts after it."""
+    end = sign
+    while sign - end < 4 and end and text[end - 1].isspace():
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    begin = end
+    while begin and text[begin - 1] in _PART:
+        # what follows the part must be single separators and whole parts
+        if text[begin - 1] in "_-" and (begin == end or text[begin] in "_-"):
+            break
+        begin -= 1
+    return NAME.search(text, begin, end) is not None
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """``start, end, kind, detail`` of every confirmed secret, in order and apart."""
     if not text:
@@ -193,15 +215,11 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         data = bytes.fromhex(m[0]) if HEX.fullmatch(m[0]) and len(m[0]) % 2 == 0 else decode64(m[0])
         if data and (detail := der_key(data) or ssh_key(data)):
             found.append((m.start(), m.end(), "encoded_key", detail))
-    for m in ASSIGNED.finditer(text):
-        if detail := _assigned(m[1]):
+    for m in VALUE.finditer(text):
+        if _named(text, m.start()) and (detail := _assigned(m[1])):
             found.append((m.start(1), m.end(1), "assigned_key", detail))
     found.sort(key=lambda x: (x[0] - x[1], KINDS.index(x[2]), x[0]))
-    apart: list[tuple[int, int, str, str]] = []
-    for x in found:
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in apart):
-            apart.append(x)
-    return sorted(apart)
+    return disjoint(found)
 
 
 def hinted(texts: pa.Array) -> pa.Array:
@@ -220,7 +238,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end, kind, detail, sha256`` of every confirmed secret; positions are in characters, and the secret itself is given as a digest only."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_batches, "doc_id long, start int, end int, kind string, detail string, sha256 string")
+    return docs.select(whole("doc_id"), "text").mapInArrow(_scan_batches, "doc_id long, start int, end int, kind string, detail string, sha256 string")
 
 
 def redact(text: str) -> str:
