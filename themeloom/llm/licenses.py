@@ -30,13 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD
+from .text import WORD, disjoint, whole
 
 COVERAGE, SLACK = 0.8, 0.25
 KEYS = frozenset("license licensed licenses licence licensee spdx mit apache gpl gnu lgpl agpl mozilla mpl bsd isc cc0 unlicense unencumbered copyright copyrighted redistribution redistributions noncommercial sharealike attribution warranty warranties noninfringement merchantability".split()) | {"by", "nc", "sa", "nd"}
 #: Keys that are also ordinary words: they place a template only together with another key.
 WEAK = frozenset({"by", "nc", "sa", "nd", "mit", "attribution", "copyright", "warranty"})
-HINT = r"(?i)\b(?:licen[cs]e|spdx|redistribution|unencumbered|copyright|noninfringement|merchantability|apache|gnu|mozilla|public domain)"
 
 _AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
 _BSD_END = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
@@ -130,6 +129,7 @@ class _Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words_of(text)[0]
         self.names = Counter(w for w in self.words if w in _NAMES or w.isdigit())
+        self.count = Counter(self.words)
         keys = [w for w in self.words if w in KEYS]
         self.keys = {w for w in keys if w not in WEAK} or set(keys)
         self.first: dict[str, list[int]] = {}
@@ -139,6 +139,9 @@ class _Template:
 
 
 _TEMPLATES = [_Template(name, text) for name, texts in TEMPLATES.items() for text in texts]
+_PLACED = KEYS.union(*(t.names for t in _TEMPLATES))
+#: What any text with a finding contains, for the scan that most texts end with: a key word that places a template.
+HINT = "(?i)" + "|".join(sorted({w for t in _TEMPLATES for w in t.keys}))
 
 
 def find(text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
@@ -148,8 +151,18 @@ def find(text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float,
     words, spans = words_of(text)
     where: dict[str, list[int]] = {}
     for p, w in enumerate(words):
-        if w in KEYS:
+        if w in _PLACED:
             where.setdefault(w, []).append(p)
+
+    def may_reach(t: _Template, low: int, high: int) -> bool:
+        """Whether the words of a stretch, in whatever order, suffice for its names and coverage."""
+        for w, times in t.names.items():
+            at = where.get(w, ())
+            if bisect_left(at, high) - bisect_left(at, low) < times:
+                return False
+        held = Counter(words[low:high])
+        return sum(min(times, held[w]) for w, times in t.count.items()) >= coverage * len(t.words)
+
     found: dict[tuple[str, int, int], tuple[int, float]] = {}
     for t in _TEMPLATES:
         n = len(t.words)
@@ -162,17 +175,16 @@ def find(text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float,
                     if (low, high) in tried:
                         continue
                     tried.add((low, high))
+                    if not may_reach(t, low, high):
+                        continue
                     pairs = align(t.words, words[low:high])
                     if len(pairs) < coverage * n or t.names - Counter(t.words[i] for i, _ in pairs):
                         continue
                     start, end = low + pairs[0][1], low + pairs[-1][1] + 1
                     place = (t.name, spans[start][0], spans[end - 1][1])
                     found[place] = max(found.get(place, (0, 0.0)), (len(pairs), len(pairs) / n))
-    out: list[tuple[str, float, int, int]] = []
-    for (name, start, end), (_, share) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0][1], x[0][0])):
-        if all(end <= y[2] or start >= y[3] for y in out):
-            out.append((name, share, start, end))
-    return sorted(out, key=lambda x: x[2])
+    best = sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0][1], x[0][0]))
+    return [(name, share, start, end) for start, end, name, share in disjoint((start, end, name, share) for (name, start, end), (_, share) in best)]
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +198,4 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, license, coverage, start, end`` of every finding; places are in characters."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_batches, "doc_id long, license string, coverage double, start int, end int")
+    return docs.select(whole("doc_id"), "text").mapInArrow(_scan_batches, "doc_id long, license string, coverage double, start int, end int")
