@@ -83,6 +83,20 @@ def test_round_trip_of_the_table(spark):
     assert {tuple(r) for r in got.collect()} == {(r.page_id, r.url, r.html, "ok") for r in pages.collect()} and got.count() == pages.count()
 
 
+@pytest.mark.parametrize("chunk", [1000, 1 << 18])
+def test_heads_of_any_length(spark, monkeypatch, chunk):
+    monkeypatch.setattr(W, "CHUNK", chunk)
+    rng = random.Random(1)
+    urls = ["http://x/" + "".join(rng.choices("abcdefgh", k=n)) for n in (70_000, 300_000, 2_000_000)]
+    data = b"".join(W.member(head(0, i, **{"WARC-Target-URI": u}), b"body") for i, u in enumerate(urls))
+    for file in (data, gzip.decompress(data)):
+        assert [(r.headers["warc-target-uri"], r.block, r.status) for r in W.records(io.BytesIO(file))] == [(u, b"body", "ok") for u in urls]
+    # what is no record isn't taken for a long head
+    assert [r.status for r in W.records(io.BytesIO(b"junk" * 100_000))] == ["bad_header"]
+    pages = spark.createDataFrame([(i, u, "page") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(map(tuple, W.round_trip(pages).collect())) == [(i, u, "page", "ok") for i, u in enumerate(urls)]
+
+
 def test_odd_rows(spark, monkeypatch, tmp_path):
     rows = [(1, None, "a", 1), (2, "", None, 1), (None, "http://x/ä", "", 1), (3, "u", "z" * 3_000_000, 1), (3, "u", "same", 1), (3, "u", "same", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, status int").coalesce(1)

@@ -1,7 +1,7 @@
 """WARC: a sequential reader and a writer, one gzip member for each record.
 
 The reader goes through a file once, in chunks. Members are inflated as they come
-with incremental zlib; a record's head ends at the first empty line and its
+with incremental zlib; a record's head, of any length, ends at the first empty line and its
 block is framed by Content-Length, whether or not the record and its member end
 together. Blocks are digested while they stream and compared with
 WARC-Block-Digest (sha1 in base 32 or hex, sha256, md5). Files that aren't
@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import fresh
+from .text import whole
 
-CHUNK, FILE_BYTES, HEAD_BYTES = 1 << 18, 1 << 30, 1 << 16
+CHUNK, FILE_BYTES = 1 << 18, 1 << 30
 SCHEMA = "file string, offset long, record_id string, type string, date string, target_uri string, content_type string, headers map<string,string>, block binary, status string"
 _ARROW = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("date", pa.string()), ("target_uri", pa.string()), ("content_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("status", pa.string())])
 _HASHES = {"sha1": 20, "sha256": 32, "md5": 16}
@@ -153,14 +154,27 @@ def _head(text: bytes) -> dict[str, str] | None:
     return out
 
 
+_EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
+
+
+def _may_begin(data: bytes) -> bool:
+    """Whether bytes may be those of a record's head, however long it gets; what doesn't begin as one isn't read on to its first empty line."""
+    mark = data[:64].lstrip()[:5]
+    return b"WARC/".startswith(mark)
+
+
 def records(raw) -> Iterator[Record]:
     """The records of an open file, from first to last."""
     s = _Stream(raw)
     while s.ready or s.begin():
         offset = s.member if not s.plain else s.at - len(s.ready)
         # head
-        while not (end := re.search(rb"\r?\n\r?\n", s.ready)) and len(s.ready) < HEAD_BYTES and s.more():
-            pass
+        end, seen = _EMPTY_LINE.search(s.ready), 0
+        while not end and _may_begin(s.ready):
+            seen = max(0, len(s.ready) - 3)  # where an empty line may have begun
+            if not s.more():
+                break
+            end = _EMPTY_LINE.search(s.ready, seen)
         if not s.ready.strip() and (not s.error or s.skipped):
             s.ready = b""  # nothing there, or damage that only looked like a member
             continue
@@ -259,7 +273,7 @@ def write_pages(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z
             close()
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["n"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()
+    rows = pages.select(whole("page_id"), "url", "html").mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()
     return rows.n or 0
 
 
