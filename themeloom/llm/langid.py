@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .subwords import bounded_words, ngrams, word_scores
-from .text import slices, sums
+from .text import slices, sums, whole
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -170,10 +170,12 @@ def train(column: pa.Array, languages: list[str], families: dict[str, tuple[str,
 
 def fit(docs: DataFrame, sample: int = SAMPLE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
     """The machines from at most ``sample`` documents with a ``lang``."""
+    # ids first, so that only the texts of the sample are sorted; a table may have more rows than ids
     chosen = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
     chosen = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    rows = docs.select(F.col("doc_id").alias("__of"), whole("doc_id"), "text", "lang").where("lang is not null").join(F.broadcast(chosen), F.col("__of") == F.col("__id"), "left_semi").drop("__of")
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "lang", "text").limit(sample).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return train(rows["text"].combine_chunks(), rows["lang"].to_pylist(), families)
 
 
@@ -185,4 +187,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             family, language, margin = model.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(family, pa.string()), pa.array(language, pa.string()), pa.array(margin)], ["doc_id", "family", "language", "margin"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, family string, language string, margin double")
+    return docs.select(whole("doc_id"), "text").mapInArrow(run, "doc_id long, family string, language string, margin double")
