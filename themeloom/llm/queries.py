@@ -13,7 +13,6 @@ from . import fingerprints, langid, licenses, mixing, packing, quality, secrets,
 TARGETS = {"targets": {"src0": 0.12, "src1": 0.10, "src2": 0.02}, "other": 0.045, "total": 1.0}
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,8 +29,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 2,048 tokens that hold all documents."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Windows of 2,048 tokens that hold all documents, with their texts."""
+    return packing.pack(table(spark, sf_dir, "documents"), texts=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
