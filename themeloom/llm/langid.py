@@ -170,10 +170,11 @@ def train(column: pa.Array, languages: list[str], families: dict[str, tuple[str,
 
 def fit(docs: DataFrame, sample: int = SAMPLE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
     """The machines from at most ``sample`` documents with a ``lang``."""
-    # ids first, so that only the texts of the sample are sorted; a table may have more rows than ids
-    chosen = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
-    chosen = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.col("doc_id").alias("__of"), whole("doc_id"), "text", "lang").where("lang is not null").join(F.broadcast(chosen), F.col("__of") == F.col("__id"), "left_semi").drop("__of")
+    # ids and hashes first, so that only the texts of the sample are moved; ids may repeat, and so may rows
+    chosen = docs.where("doc_id is not null and lang is not null").select("doc_id", F.xxhash64("text").alias("hash"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash").limit(sample).distinct().select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
+    rows = docs.select(F.col("doc_id").alias("__of"), whole("doc_id"), "text", "lang").where("lang is not null")
+    rows = rows.join(F.broadcast(chosen), (F.col("__of") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi").drop("__of")
     rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "lang", "text").limit(sample).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return train(rows["text"].combine_chunks(), rows["lang"].to_pylist(), families)
