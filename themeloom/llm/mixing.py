@@ -49,7 +49,7 @@ def quality_weights(labels: DataFrame, good: float = 1.0, bad: float = 0.25) ->
     return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.when(F.max("quality") > 0, good).otherwise(bad).alias("__weight"))
 
 
-def _keyed(docs: DataFrame, weights: DataFrame | None, unlabelled: float, seed: int, tokens: Column) -> DataFrame:
+def _keyed(docs: DataFrame, weights: DataFrame | None, unlabelled: float, seed: int, tokens: Column, tie: Column) -> DataFrame:
     """docs with ``__source, __tokens, __key, __bin, __hash``."""
     docs = docs.withColumn("__tokens", tokens)
     if weights is not None:
@@ -57,24 +57,25 @@ def _keyed(docs: DataFrame, weights: DataFrame | None, unlabelled: float, seed:
         docs = docs.join(weights.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     weight = F.coalesce(F.col("__weight"), F.lit(unlabelled)) if weights is not None else F.lit(unlabelled)
     key = F.when(weight > 0, -F.log(uniform(F.col("doc_id"), seed)) / weight).otherwise(F.lit(float("inf")))
-    docs = docs.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")), "__key": key, "__hash": F.xxhash64("text") if "text" in docs.columns else F.lit(0)})
+    docs = docs.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")), "__key": key, "__hash": tie})
     # monotone in the key, and even where keys are dense
     docs = docs.withColumn("__bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("__key"))))).cast("int")).drop("__weight")
     return stored(docs, "keyed") if weights is not None else docs
 
 
-def mix(docs: DataFrame, targets: dict[str, float], total: float = 1.0, weights: DataFrame | None = None, other: float = 0.0, unlabelled: float = 0.5, seed: int = 17, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, float], total: float = 1.0, weights: DataFrame | None = None, other: float = 0.0, unlabelled: float = 0.5, seed: int = 17, tokens: Column | None = None, tie: Column | None = None) -> DataFrame:
     """The documents chosen, a row for each time one is taken: their columns and ``epoch``.
 
     ``targets`` weighs the sources by name, and ``other`` is the weight of each
     further source; weights count relative to those of the sources that have
     tokens. ``total`` is the budget as a multiple of the tokens of the whole table.
-    ``tokens`` counts a document's tokens; a table that has them needs no ``text``.
+    ``tokens`` counts a document's tokens and ``tie`` orders equal ones, by default
+    a hash of the text; a table that has both needs no ``text``.
     ``epoch`` counts from 1; the fraction's is one more than the complete ones.
     """
     if "epoch" in docs.columns:
         docs = docs.withColumnRenamed("epoch", "__epoch")
-    keyed = _keyed(docs, weights, unlabelled, seed, token_estimate(F.col("text")) if tokens is None else tokens)
+    keyed = _keyed(docs, weights, unlabelled, seed, token_estimate(F.col("text")) if tokens is None else tokens, F.xxhash64("text") if tie is None else tie)
     bins = stored(keyed.groupBy("__source", "__bin").agg(F.sum("__tokens").alias("tokens")), "bins")
     target = F.lit(float(other))
     for name, value in targets.items():

@@ -69,8 +69,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that the target weights take, a row for each time."""
     weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_estimate(F.col("text")).alias("tokens"))
-    return mixing.mix(docs, **TARGETS, weights=weights, tokens=F.col("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_estimate(F.col("text")).alias("tokens"), F.xxhash64("text").alias("hash"))
+    return mixing.mix(docs, **TARGETS, weights=weights, tokens=F.col("tokens"), tie=F.col("hash")).drop("hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
