@@ -1,0 +1,130 @@
+"""The pipeline's stages, one after the other, against brute force over small tables."""
+
+import math
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from themeloom.llm import quality, secrets, simhash
+from themeloom.llm.queries import TARGETS
+
+from test_mixing import brute as brute_mix
+from test_quality import brute_path
+from test_simhash import brute_groups
+
+SF = "/root/testdata/sf0.001"
+KEY = "token = '9f86d081884c7d659a2f'"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """The small tables and rows with nulls, no text, a very long text, copies, repeated rows and columns that clash."""
+    folder = tmp_path_factory.mktemp("sf")
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.select("doc_id", "text", "lang", "source").collect()
+    plain = max((r.text for r in known if r.lang == "en"), key=len)
+    odd = [
+        (None, plain + " without an id", "en", "src1"), (9001, None, "en", "src0"), (9002, "", None, "src0"), (9003, "...", "en", None),
+        (9004, plain + f" {KEY} end", "en", "src0"), (9005, plain + " " + KEY, "en", "src0"), (9006, plain * 30, "en", None),
+        (9007, "a small text of its own kind here", "en", "src2"), (9007, "a small text of its own kind here", "en", "src2"),
+    ]
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in known] + odd
+    rows = [(*r, len(r[1] or ""), 1.0, 2) for r in rows]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, epoch int"
+    spark.createDataFrame(rows, columns).drop("epoch").write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tables):
+    """Every stage's input and output rows."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    out = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], tables).write.parquet(f"{tables}/stage{k}")
+        out.append(spark.read.parquet(f"{tables}/stage{k}"))
+    return [(a, a.collect(), b, b.collect()) for a, b in zip(out, out[1:], strict=False)]
+
+
+def bag(rows, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in rows)
+
+
+def test_all_but_the_last_return_the_columns_of_documents(stages):
+    for a, _, b, _ in stages[:-1]:
+        assert a.columns == b.columns and a.dtypes == b.dtypes
+
+
+def test_quality_rules(spark, tables, stages):
+    docs, before, _, after = stages[0]
+    forest = quality.fit(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+
+    def stays(text):
+        (row,), (words,) = quality.statistics(pa.array([text], pa.string()))
+        row = [max(0.0, v - a) for v, a in zip(row, forest.allowed, strict=True)]
+        mean = sum(brute_path(forest, t, row) for t in range(len(forest.rule))) / len(forest.rule)
+        return words > 0 and 2 ** (-mean / forest.norm) <= forest.threshold
+
+    assert bag(after, "doc_id", "text") == bag([r for r in before if stays(r.text)], "doc_id", "text")
+    assert 0 < len(after) < len(before)
+
+
+def test_near_duplicates(stages):
+    _, before, _, after = stages[1]
+    groups = brute_groups([r.doc_id for r in before if r.doc_id is not None], [r.text for r in before if r.doc_id is not None], simhash.MAX_DISTANCE)
+    gone = {x for k, v in groups.items() for x in v if x != k}
+    want = {(r.doc_id, r.text) for r in before if r.doc_id not in gone}
+    assert bag(after, "doc_id", "text") == Counter(want) and gone and {9004, 9005} & gone and 9006 not in {r.doc_id for r in after if r.doc_id in gone}
+
+
+def test_secret_scan(stages):
+    _, before, _, after = stages[2]
+
+    def redacted(text):
+        for start, end, kind, _ in reversed(secrets.find(text)):
+            text = f"{text[:start]}[{kind}]{text[end:]}"
+        return text
+
+    want = [(r.doc_id, redacted(r.text), len(redacted(r.text)) if redacted(r.text) != r.text else r.n_chars) for r in before]
+    assert bag(after, "doc_id", "text", "n_chars") == Counter(want)
+    assert not any("9f86d081884c7d659a2f" in r.text for r in after)
+
+
+def test_mixing(spark, tables, stages):
+    _, before, _, after = stages[3]
+    labels = {r.doc_id: 1.0 if r.quality else 0.25 for r in spark.read.parquet(f"{tables}/labels.parquet").collect()}
+    want = brute_mix([(r.doc_id, r.text, r.source) for r in before], TARGETS["targets"], TARGETS["total"], labels, TARGETS["other"])
+    got = bag(after, "doc_id", "text")
+    folded = Counter()
+    for (doc, text, _), n in want.items():
+        folded[doc, text] += n
+    assert got == folded and max(got.values()) > 1
+
+
+def test_packing(stages):
+    _, before, _, after = stages[4]
+    pieces = Counter()
+    for w in after:
+        assert sum(w.lengths) == w.tokens <= 2048
+        pieces.update(zip(w.doc_ids, w.starts, w.lengths, w.texts, strict=True))
+    want = Counter()
+    for r in before:
+        n = math.ceil(len(r.text) / 4)
+        for start in range(0, n, 2048):
+            want[r.doc_id, start, min(2048, n - start), r.text[4 * start : 4 * start + 8192]] += 1
+    assert pieces == want
+
+
+def test_run_gives_the_last_stage(spark, tables, stages):
+    got = corpus_pipeline.run(spark, tables)
+    held = lambda rows: Counter(x for w in rows for x in zip(w.doc_ids, w.starts, w.texts, strict=True))
+    assert held(got.collect()) == held(stages[-1][3])
+
+
+def test_empty_table(spark, tables, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{tables}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
