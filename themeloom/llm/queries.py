@@ -45,9 +45,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the benchmark items and the other documents that its digest overlaps, features ranked by the whole corpus."""
+    """Every document with the benchmark items that its digest overlaps, the class of documents that it belongs to and its number of links, features ranked by the whole corpus."""
     docs = table(spark, sf_dir, "documents")
-    return fingerprints.matches(docs, fingerprints.histogram(docs), table(spark, sf_dir, "benchmark"))
+    return fingerprints.linked(docs, fingerprints.histogram(docs), table(spark, sf_dir, "benchmark"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
