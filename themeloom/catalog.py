@@ -13,6 +13,7 @@ from .operators import consensus, graphs, keywords, metrics, topics
 from .operators.labels import simple_labels
 from .plans.fit import Config, TopicModel
 from .sources.exports import projector_metadata
+from .sources.store import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,7 +46,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text, topic``: the source's number is the topic."""
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.substring("source", 4, 9).cast("int").alias("topic"))
+    return spread(_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", F.substring("source", 4, 9).cast("int").alias("topic"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
