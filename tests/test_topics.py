@@ -17,7 +17,7 @@ def labels_of(df):
 def test_softmax_by_hand(spark):
     v = table(spark, [(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, v array<double>")
     c = table(spark, [(0, [2.0, 0.0]), (1, [0.0, 3.0])], "topic int, centroid array<double>")
-    p = {(r.id, r.topic): r.prob for r in topics.softmax(topics.similarities(v, c)).collect()}
+    p = {(r.id, r.topic): r.prob for r in topics.soft(v, c).collect()}
     assert p[1, 0] == pytest.approx(math.e**5 / (math.e**5 + 1)) and p[2, 0] == p[2, 1] == 0.5
     assert labels_of(topics.assign(v, c)) == {1: 0, 2: -1}
 
@@ -84,7 +84,7 @@ def test_mmr_keywords(spark):
     def encode(texts):
         return np.array([[t.count("apple") + 0.1, t.count("pear"), t.count("stone")] for t in texts], float)
 
-    got = keywords.embedded(docs, encode, 2).where("topic = 0").orderBy("place").collect()
+    got = keywords.embedded(docs, lambda: encode, 2).where("topic = 0").orderBy("place").collect()
     assert len(got) == 2 and got[0].score >= got[1].score > 0
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .functions.stopwords import stopword_list
 from .functions.text import WORD1, WORD2, grams, tokens
 from .operators import consensus, graphs, keywords, metrics, topics
+from .operators.embed import hashed_texts
+from .operators.hierarchy import Hierarchy
 from .operators.labels import simple_labels
 from .plans.fit import Config, TopicModel
 from .sources.exports import projector_metadata
-from .sources.store import spread
+from .sources.store import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -189,6 +191,13 @@ def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.semantic(_vectors(spark, sf_dir), K).select("src", "dst", _r("w").alias("w"))
 
 
+@_query(f"WITH {_E} SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) + 0.0::DOUBLE AS cos FROM e a CROSS JOIN e b WHERE a.id % 20 = 0")
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of the query rows, those whose id is divisible by 20, with all rows."""
+    v = _vectors(spark, sf_dir)
+    return graphs.similarity(v.where("id % 20 = 0"), v).select("a", "b", _r("cos").alias("cos"))
+
+
 _CATEGORICAL = "SELECT a.doc_id AS src, b.doc_id AS dst, 1.0::DOUBLE AS w FROM documents a JOIN documents b ON a.{0} = b.{0} AND a.doc_id < b.doc_id"
 
 
@@ -244,7 +253,7 @@ def _centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.softmax(topics.similarities(_vectors(spark, sf_dir), _centers(spark, sf_dir)))
+    return topics.soft(_vectors(spark, sf_dir), _centers(spark, sf_dir))
 
 
 @_query(f"WITH {_CENT} SELECT topic, i AS at, round(x, 6) + 0.0::DOUBLE AS x FROM cl")
@@ -478,14 +487,13 @@ def simple_topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple_labels(keywords.keyphrases(_docs(spark, sf_dir), 10, 3, stopwords=STOP))
 
 
-@_query("""WITH n AS (SELECT o_orderkey % 400 AS topic, o_comment AS label FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 400 ORDER BY o_orderkey) AS place FROM (SELECT o_orderkey, CAST(o_orderpriority AS VARCHAR) || ' ' || CAST(o_orderstatus AS VARCHAR) || ' x ' || CAST(o_custkey AS VARCHAR) AS o_comment FROM orders)) WHERE place = 1)
+@_query("""WITH n AS (SELECT o_orderkey AS topic, CAST(o_orderpriority AS VARCHAR) || ' ' || CAST(o_orderstatus AS VARCHAR) || ' x' || CAST(o_custkey AS VARCHAR) || ' y' AS label FROM orders)
 SELECT prefix, array_to_string(list(topic ORDER BY topic), ',') AS topics FROM (SELECT topic, array_to_string(regexp_split_to_array(lower(trim(label)), '\\s+')[1:3], ' ') AS prefix FROM n) GROUP BY prefix HAVING count(*) > 1""")
 def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that begin with the same three words."""
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus", F.lit("x"), F.col("o_custkey").cast("string")).alias("label"))
-    names = orders.withColumn("topic", F.pmod("o_orderkey", F.lit(400)))
-    names = names.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("o_orderkey"))).where("place = 1")
-    return topics.label_collisions(names.select("topic", "label")).select("prefix", F.concat_ws(",", F.col("topics").cast("array<string>")).alias("topics"))
+    """Orders whose names, made of priority, state and customer, begin with the same three words."""
+    name = F.concat(F.col("o_orderpriority").cast("string"), F.lit(" "), F.col("o_orderstatus").cast("string"), F.lit(" x"), F.col("o_custkey").cast("string"), F.lit(" y"))
+    names = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("topic"), name.alias("label"))
+    return topics.label_collisions(names).select("prefix", F.concat_ws(",", F.col("topics").cast("array<string>")).alias("topics"))
 
 
 @_query(_SQL["keyphrases"].split("SELECT topic, place, term")[0] + """, q AS (SELECT topic, string_agg(term, ', ' ORDER BY place) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS place FROM c) WHERE place <= 5 GROUP BY topic)
@@ -514,6 +522,23 @@ def consensus_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def fitted_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics of a model fitted on all documents, as ``topic_info`` gives them."""
+    """Topics of a model fitted on all documents with the default numbers of iterations and runs, as ``topic_info`` gives them."""
     docs = _docs(spark, sf_dir).select("id", "text")
-    return TopicModel(Config(max_iterations=2, n_consensus_runs=4, dim_reduction_method="pca", language="english")).fit(docs).topic_info()
+    return TopicModel(Config(dim_reduction_method="pca", language="english")).fit(docs).topic_info()
+
+
+@_query()
+def embedded_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten keywords of each source's documents by embeddings, all terms of a source being candidates; tests compare it with brute force."""
+    return keywords.embedded(_docs(spark, sf_dir), hashed_texts(64), 10, STOP)
+
+
+@_query()
+def topic_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a tree of topics at three resolutions over the embeddings' graph, each with all that hangs below it; tests compare the tree with its table."""
+    v = _vectors(spark, sf_dir)
+    graph = consensus.packed(graphs.semantic(v, K), v)
+    runs = stored(consensus.many(graph, spark, [(i, g, 42) for i, g in enumerate((0.25, 1.0, 4.0))]), "levels")
+    tree = Hierarchy.of_levels(runs, [0.25, 1.0, 4.0])
+    rows = [(n.node_id, n.level, n.topic_id, n.parent.node_id if n.parent else None, n.size, n.is_leaf(), [x.node_id for x in n.subtopics(3)]) for n in tree.flatten()]
+    return spark.createDataFrame(rows, "node_id string, level int, topic_id int, parent_id string, size long, is_leaf boolean, below array<string>")

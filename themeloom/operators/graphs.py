@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import unit
 from ..sources.store import stored
 from .order import around, ranked
 
@@ -53,6 +54,13 @@ def _nearest(k: int, metric: str, dims: int | None):
     return run
 
 
+def _blocks(df: DataFrame, parts: list[str], name: str) -> DataFrame:
+    """Rows in groups of about ``BLOCK_ROWS``, an array of structs each."""
+    n = max(1, -(-df.count() // BLOCK_ROWS))
+    rows = df.select(*parts).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    return rows.groupBy("block").agg(F.collect_list(F.struct(*parts)).alias(name)).repartition(n, "block").select(name)
+
+
 def knn(vectors: DataFrame, k: int = 15, metric: str = "cosine", queries: DataFrame | None = None, dims: int | None = None) -> DataFrame:
     """``src, dst, sim``: the k nearest of every row, exactly.
 
@@ -63,19 +71,47 @@ def knn(vectors: DataFrame, k: int = 15, metric: str = "cosine", queries: DataFr
     that look for neighbours among ``vectors``; ``dims`` is the width of sparse ones.
     """
     parts = ["id", *(["at"] if dims is not None else []), "v"]
-
-    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // BLOCK_ROWS))
-        rows = df.select(*parts).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-        return rows.groupBy("block").agg(F.collect_list(F.struct(*parts)).alias(name)).repartition(n, "block").select(name), n
-
-    left, _ = blocks(vectors if queries is None else queries, "a")
-    right, _ = blocks(vectors, "b")
+    left, right = _blocks(vectors if queries is None else queries, parts, "a"), _blocks(vectors, parts, "b")
     best = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     pairs = left.crossJoin(right).mapInArrow(_nearest(k, metric, dims), "src long, dst long, sim double")
     return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
+def similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``a, b, cos``: the matrix of cosines of the rows of ``queries`` with all of ``vectors``, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, x), (b, y) = (_matrix(batch.column(c)[i].values, None) for c in (0, 1))
+                cos = unit(x) @ unit(y).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, len(b))), pa.array(np.tile(b, len(a))), pa.array(cos.ravel())], ["a", "b", "cos"])
+
+    return _blocks(queries, ["id", "v"], "a").crossJoin(_blocks(vectors, ["id", "v"], "b")).mapInArrow(run, "a long, b long, cos double")
+
+
+def distance_sums(rows: DataFrame) -> DataFrame:
+    """``id, topic, ot, d, n`` of ``id, v, topic``: how far a row is from the others of each topic in sum, and how many they are, in parts to be added up."""
+    parts = ["id", "v", "topic"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, x), (b, y) = (_matrix(batch.column(c)[i].values, None) for c in (0, 1))
+                mine, other = (batch.column(c)[i].values.field("topic").to_numpy(zero_copy_only=False) for c in (0, 1))
+                apart = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
+                same = a[:, None] == b[None]
+                apart[same] = 0
+                topics, at = np.unique(other, return_inverse=True)
+                member = np.zeros((len(b), len(topics)))
+                member[np.arange(len(b)), at] = 1
+                d, n = apart @ member, (~same).astype(float) @ member
+                own, to = np.repeat(np.arange(len(a)), len(topics)), np.tile(topics, len(a))
+                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(mine[own].astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(d.ravel()), pa.array(n.ravel())], ["id", "topic", "ot", "d", "n"])
+
+    return _blocks(rows, parts, "a").crossJoin(_blocks(rows, parts, "b")).mapInArrow(run, "id long, topic int, ot int, d double, n double")
+
+
 def undirected(neighbours: DataFrame) -> DataFrame:
     """An edge for each neighbour in either direction, with the larger similarity."""
     return neighbours.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("sim").alias("w"))

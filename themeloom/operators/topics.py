@@ -6,48 +6,119 @@ Labels are ``id, topic`` with -1 for outliers; vectors ``id, v``; centroids
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, euclidean, normalised
+from ..functions.blocks import mapped, matrix, summed, unit, vectors_of
+from ..functions.vectors import cosine
 from .graphs import knn
 
 OUTLIER = -1
 
 
+Centers = tuple[np.ndarray, np.ndarray]  # topics in order, and a row for each
+
+
+def _width(vectors: DataFrame) -> int:
+    row = vectors.where("v is not null").select(F.size("v").alias("n")).first()
+    return row.n if row else 0
+
+
+def centers_of(centers: DataFrame) -> Centers:
+    """Centroids on the driver: a row for each topic."""
+    rows = centers.orderBy("topic").collect()
+    return np.array([r.topic for r in rows], np.int64), np.array([r.centroid for r in rows], float) if rows else np.zeros((0, 0))
+
+
 def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """The mean vector of every topic but the outliers."""
-    long = vectors.join(labels.where(F.col("topic") != OUTLIER), "id").select("topic", F.posexplode("v").alias("at", "x"))
-    mean = long.groupBy("topic", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return mean.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("c")).select("topic", F.col("c.x").alias("centroid"))
+    """The mean vector of every topic but the outliers. Each task sums up its own rows by topic, and only those sums are moved."""
+    dims = _width(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        count: Counter[int] = Counter()
+        for batch in batches:
+            topics, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            sums = np.zeros((len(topics), dims))
+            np.add.at(sums, at, matrix(batch.column(1), dims))
+            for t, x, n in zip(topics.tolist(), sums, np.bincount(at, minlength=len(topics)).tolist(), strict=True):
+                total[t] = total[t] + x if t in total else x
+                count[t] += n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([count[t] for t in total], pa.int64()), vectors_of(np.stack(list(total.values())))], ["topic", "n", "total"])
+
+    rows = vectors.where("v is not null").join(labels.where(F.col("topic") != OUTLIER), "id").select(F.col("topic").cast("int").alias("topic"), "v")
+    parts = summed(rows.mapInArrow(run, "topic int, n long, total array<double>"), "topic", "int")
+    return parts.select("topic", F.transform("total", lambda x: x / F.col("n")).alias("centroid"))
 
 
 def refine(vectors: DataFrame, labels: DataFrame, blend: float = 0.2) -> DataFrame:
     """Vectors pulled towards their topic's centroid, by the root of their cosine with it; all are then scaled to length 1."""
-    rows = vectors.join(labels, "id", "left").join(centroids(vectors, labels), "topic", "left")
-    pull = blend * F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("v"), F.col("centroid")))))
-    rows = rows.withColumn("pull", pull)
-    moved = F.when(F.col("centroid").isNull(), F.col("v")).otherwise(F.zip_with("v", "centroid", lambda x, c: (1 - F.col("pull")) * x + F.col("pull") * c))
-    return rows.select("id", moved.alias("v")).select("id", normalised(F.col("v")).alias("v"))
+    topics, center = centers_of(centroids(vectors, labels))
+    dims = _width(vectors)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = matrix(batch.column(1), dims)
+        topic = batch.column(2).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(topics, topic), max(len(topics) - 1, 0))
+        has = topics[at] == topic if len(topics) else np.zeros(len(x), bool)
+        c = center[at[has]]
+        pull = blend * np.sqrt(np.clip((unit(x[has]) * unit(c)).sum(axis=1, keepdims=True), 0, 1))
+        x[has] = (1 - pull) * x[has] + pull * c
+        return pa.RecordBatch.from_arrays([batch.column(0), vectors_of(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10))], ["id", "v"])
+
+    rows = vectors.join(labels, "id", "left").select("id", "v", F.coalesce(F.col("topic").cast("long"), F.lit(OUTLIER)).alias("topic"))
+    return mapped(rows, run, f"id {dict(vectors.dtypes)['id']}, v array<double>")
+
+
+def _scored(vectors: DataFrame, centers: DataFrame, run: Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``run`` on ids, topics and cosines of every batch: one matrix product with the centroids, no shuffle."""
+    topics, center = centers_of(centers)
+    known = unit(center)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return run(batch.column(0), topics, unit(matrix(batch.column(1), known.shape[1])) @ known.T if len(topics) else np.zeros((batch.num_rows, 0)))
+
+    return mapped(vectors.select("id", "v"), each, f"id {dict(vectors.dtypes)['id']}, {schema}")
+
+
+def _long(ids: pa.Array, topics: np.ndarray, value: np.ndarray, name: str) -> pa.RecordBatch:
+    rows = ids.take(pa.array(np.repeat(np.arange(len(ids)), len(topics))))
+    return pa.RecordBatch.from_arrays([rows, pa.array(np.tile(topics, len(ids)).astype(np.int32)), pa.array(value.ravel())], ["id", "topic", name])
 
 
 def similarities(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """``id, topic, cos`` for every row and topic; topics are few, and Spark decides whether to broadcast them."""
-    return vectors.crossJoin(centers).select("id", "topic", cosine(F.col("v"), F.col("centroid")).alias("cos"))
+    """``id, topic, cos`` for every row and topic."""
+    return _scored(vectors, centers, lambda ids, topics, cos: _long(ids, topics, cos, "cos"), "topic int, cos double")
 
 
-def softmax(scores: DataFrame, temperature: float = 5.0) -> DataFrame:
-    """``id, topic, prob`` from ``id, topic, cos``."""
-    by = Window.partitionBy("id")
-    raw = F.exp(temperature * (F.col("cos") - F.max("cos").over(by)))
-    return scores.withColumn("raw", raw).select("id", "topic", (F.col("raw") / F.sum("raw").over(by)).alias("prob"))
+def soft(vectors: DataFrame, centers: DataFrame, temperature: float = 5.0) -> DataFrame:
+    """``id, topic, prob``: a softmax of the cosines with all topics."""
+
+    def run(ids: pa.Array, topics: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
+        raw = np.exp(temperature * (cos - cos.max(axis=1, keepdims=True))) if len(topics) else cos
+        return _long(ids, topics, raw / raw.sum(axis=1, keepdims=True) if len(topics) else raw, "prob")
+
+    return _scored(vectors, centers, run, "topic int, prob double")
+
+
+def nearest(topics: np.ndarray, cos: np.ndarray, threshold: float) -> tuple[pa.Array, pa.Array]:
+    """Topic and cosine of the best of each row, or -1 below the threshold; ties go to the lower topic, and without topics there is no cosine."""
+    if not len(topics):
+        return pa.array(np.full(len(cos), OUTLIER, np.int32)), pa.nulls(len(cos), pa.float64())
+    at = cos.argmax(axis=1)
+    best = cos[np.arange(len(cos)), at]
+    return pa.array(np.where(best < threshold, OUTLIER, topics[at]).astype(np.int32)), pa.array(best)
 
 
 def assign(vectors: DataFrame, centers: DataFrame, threshold: float = 0.35) -> DataFrame:
     """``id, topic, cos``: the nearest topic, or -1 where its cosine is below the threshold; ties go to the lower topic."""
-    best = similarities(vectors, centers).groupBy("id").agg(F.max_by(F.struct("topic", "cos"), F.struct("cos", -F.col("topic"))).alias("b"))
-    return best.select("id", F.when(F.col("b.cos") < threshold, F.lit(OUTLIER)).otherwise(F.col("b.topic")).cast("int").alias("topic"), F.col("b.cos").alias("cos"))
+    return _scored(vectors, centers, lambda ids, topics, cos: pa.RecordBatch.from_arrays([ids, *nearest(topics, cos, threshold)], ["id", "topic", "cos"]), "topic int, cos double")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -87,10 +158,27 @@ def topic_similarity(centers: DataFrame) -> DataFrame:
 
 
 def representatives(vectors: DataFrame, labels: DataFrame, n: int = 5) -> DataFrame:
-    """``topic, id, place``: the rows nearest to their topic's mean (Euclidean); of the outliers, those with the lowest ids."""
-    rows = vectors.join(labels, "id").join(centroids(vectors, labels), "topic", "left")
-    apart = F.when(F.col("topic") == OUTLIER, F.col("id").cast("double")).otherwise(euclidean(F.col("v"), F.col("centroid")))
-    rows = rows.select("topic", "id", apart.alias("apart"))
+    """``topic, id, place``: the rows nearest to their topic's mean (Euclidean); of the outliers, those with the lowest ids. Each task hands on its best n of a topic only."""
+    topics, center = centers_of(centroids(vectors, labels))
+    dims = _width(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            topic, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            apart = ids.astype(float)
+            inside = np.flatnonzero(topic != OUTLIER)
+            if len(inside):
+                x = matrix(batch.column(2), dims)[inside]
+                apart[inside] = np.linalg.norm(x - center[np.searchsorted(topics, topic[inside])], axis=1)
+            topic, ids, apart = (np.concatenate(x) for x in zip(best, (topic, ids, apart), strict=True))
+            order = np.lexsort((ids, apart, topic))
+            first = np.searchsorted(topic[order], topic[order], "left")
+            order = order[np.arange(len(order)) - first < n]
+            best = (topic[order], ids[order], apart[order])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(best, (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["topic", "id", "apart"])
+
+    rows = vectors.where("v is not null").join(labels, "id").select(F.col("topic").cast("long").alias("topic"), F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "topic int, id long, apart double")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("apart", "id"))).where(F.col("place") <= n)
 
 
