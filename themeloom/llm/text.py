@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WORD = "[a-z0-9_\u0080-\U0010ffff]+"
 #: Bytes of text that a kernel takes at once; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
