@@ -88,6 +88,31 @@ def test_dense_buckets_give_the_same_components(monkeypatch):
     assert (results[0] == results[1]).all() and len(set(results[0])) < 40
 
 
+def test_no_pair_within_the_distance_is_left_out():
+    """Pairs with their differing bits spread evenly over the fingerprint, the hardest for segments, and at random."""
+    rng = np.random.default_rng(3)
+    plain = rng.integers(0, 2, (600, 312), dtype=np.uint8)
+    flip = np.zeros((600, 312), dtype=np.uint8)
+    for i in range(600):
+        n = 44 if i < 500 else 45
+        flip[i, (np.arange(n) * 312 // n + i % 7) % 312 if i % 2 else rng.choice(312, n, replace=False)] = 1
+    rows = np.zeros((1200, 320), dtype=np.uint8)
+    rows[::2, :312], rows[1::2, :312] = plain, plain ^ flip
+    column = pa.array([r.tobytes() for r in np.packbits(rows, axis=1)], pa.binary())
+    places = pa.Table.from_batches(simhash._place_batches(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(1200)), column], ["doc_id", "fingerprint"])])))
+    edges = simhash._edge_batches(44)(iter(places.sort_by("place").combine_chunks().to_batches(5000)))
+    got = {(int(b), int(a)) for e in edges for a, b in zip(e.column(0).to_pylist(), e.column(1).to_pylist(), strict=True)}
+    assert got == {(2 * i, 2 * i + 1) for i in range(500)}
+
+
+def test_groups_are_those_of_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    assert found(simhash.near_duplicates(docs)) == brute_groups([r.doc_id for r in rows], [r.text for r in rows], simhash.MAX_DISTANCE)
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs, simhash.MAX_DISTANCE + 1)
+
+
 def test_connected(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = {r.node: r.root for r in simhash.connected(spark.createDataFrame(edges, "a long, b long")).collect()}

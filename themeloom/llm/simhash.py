@@ -1,18 +1,16 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has ``SEGMENTS`` segments of ``SEGMENT_BITS`` bits. Every distinct
+A fingerprint of ``BITS`` bits is cut into ``SEGMENTS`` segments. Every distinct
 word of a document votes on every bit. Two documents are near-duplicates if
-their fingerprints differ in at most ``max_distance`` bits. Candidates are pairs
-that differ in at most one bit of some segment: all pairs up to 25 bits apart
-by the pigeonhole principle, and about 0.9 of those exactly 45 bits apart. Each
-document is a query as well as an entry of the tables.
-
-A ball of radius 1 needs no row per probe in the shuffle. The differing bit lies
-either in the low or in the high half of the segment, and the other half is
-equal; so a document goes to two places per segment, one for each half, and the
-ball over the other half is enumerated there against the rows that came to the
-same place. What is shuffled is 2 x SEGMENTS narrow rows for each distinct
-fingerprint, whatever the radius of the ball costs in lookups.
+their fingerprints differ in at most ``max_distance`` bits, and every such pair is
+compared: up to ``MAX_DISTANCE``, which is less than ``SEGMENTS * (RADIUS + 1)``, some
+segment has at most ``RADIUS`` differing bits. A larger ``max_distance`` is an error.
+Each document is a query as well as an entry of the tables.
+
+A ball of that radius needs no row per probe in the shuffle. A segment has
+``RADIUS + 1`` parts, of which one is equal; so a document goes to one place for each
+part of each segment, and the ball over the other parts is enumerated there
+against the rows that came to the same place.
 
 Nulls, empty texts and texts without any word have no fingerprint and belong to
 no group. Repeated rows and equal texts have equal fingerprints and so belong
@@ -23,6 +21,7 @@ columns of the input, whatever their names, aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +31,17 @@ from pyspark.sql import functions as F
 from .store import stored
 from .text import mix, prefix_hash, slices, span_hash, whole
 
-SEGMENTS, SEGMENT_BITS = 13, 24
-HALF = SEGMENT_BITS // 2
-WORDS = 5
-#: Bits that may differ, of the 312 that the segments cover.
+WORDS, BITS = 5, 312
+#: Bits that may differ.
 MAX_DISTANCE = 44
+#: Bits that may differ in a segment, which has one part more; so many segments that a pair can't exceed that in all of them.
+RADIUS = 2
+PARTS = RADIUS + 1
+SEGMENTS = MAX_DISTANCE // PARTS + 1
+#: Bits of a part at most, and of a place's number for the value of the part.
+PART_BITS, HALF = 7, 12
 _MASKS = np.zeros(WORDS * 64, dtype=np.uint8)
-_MASKS[: SEGMENTS * SEGMENT_BITS] = 1
+_MASKS[:BITS] = 1
 #: Buckets with more pairs than this are searched breadth first.
 DENSE_PAIRS = 20_000
 BLOCK = 1 << 18
@@ -99,16 +102,23 @@ def _bits(column: pa.Array) -> np.ndarray:
 
 def segments_of(bits: np.ndarray) -> np.ndarray:
     """The value of each segment, a column each."""
-    data = bits.view(np.uint8).reshape(len(bits), -1)[:, : SEGMENTS * 3].reshape(len(bits), SEGMENTS, 3).astype(np.int64)
-    return data[:, :, 0] << 16 | data[:, :, 1] << 8 | data[:, :, 2]
+    data = bits.view(np.uint8).reshape(len(bits), -1).astype(np.int64)
+    out = np.empty((len(bits), SEGMENTS), dtype=np.int64)
+    for s in range(SEGMENTS):
+        first, last = s * BITS // SEGMENTS, (s + 1) * BITS // SEGMENTS
+        at = first // 8
+        four = data[:, at] << 24 | data[:, at + 1] << 16 | data[:, at + 2] << 8 | data[:, at + 3]
+        out[:, s] = four >> (32 - first % 8 - (last - first)) & ((1 << (last - first)) - 1)
+    return out
 
 
 def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = segments_of(_bits(batch.column(1)))
         for s in range(SEGMENTS):
-            for half, value in enumerate((values[:, s] >> HALF, values[:, s] & ((1 << HALF) - 1))):
-                place = ((2 * s + half) << HALF) + value
+            for part in range(PARTS):
+                value = values[:, s] >> (PART_BITS * part) & ((1 << PART_BITS) - 1)
+                place = ((PARTS * s + part) << HALF) + value
                 yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), batch.column(0), batch.column(1)], ["place", "doc_id", "fingerprint"])
 
 
@@ -163,16 +173,18 @@ def _dense(bits: np.ndarray, left: np.ndarray, right: np.ndarray | None, most: i
 
 def near_pairs(place: np.ndarray, bits: np.ndarray, most: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Edges between rows that came to the same place: a spanning forest of all near pairs there."""
-    segment, half = np.divmod(place >> HALF, 2)
+    segment, part = np.divmod(place.astype(np.int64) >> HALF, PARTS)
     value = segments_of(bits)[np.arange(len(bits)), segment]
-    other = np.where(half == 0, value & ((1 << HALF) - 1), value >> HALF)
-    key = place.astype(np.int64) << HALF | other
+    low = PART_BITS * part
+    other = value & ((1 << low) - 1) | value >> (low + PART_BITS) << low
+    room = PART_BITS * RADIUS
+    key = place.astype(np.int64) << room | other
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(ordered)))
     bucket = ordered[begin]
-    first_half = (bucket >> (2 * HALF)) % 2 == 0
+    first_part = (bucket >> (room + HALF)) % PARTS == 0
     edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def check(i: np.ndarray, j: np.ndarray) -> None:
@@ -198,15 +210,16 @@ def near_pairs(place: np.ndarray, bits: np.ndarray, most: int = MAX_DISTANCE) ->
                     i, j = i[i < j], j[i < j]
                 check(order[i], order[j])
 
-    # the ball's centre counts at the first half only, else each such pair would come twice
-    same = np.flatnonzero(first_half & (size > 1))
+    # the ball's centre counts at the first part only, else each such pair would come once for each part
+    same = np.flatnonzero(first_part & (size > 1))
     cross(same, same, True)
-    for bit in range(HALF):
-        low = np.flatnonzero(bucket & (1 << bit) == 0)
-        wanted = bucket[low] | (1 << bit)
-        at = np.searchsorted(bucket, wanted)
-        found = bucket[np.minimum(at, len(bucket) - 1)] == wanted if len(bucket) else np.zeros(0, bool)
-        cross(low[found], at[found], False)
+    for n in range(1, RADIUS + 1):
+        for flipped in combinations(range(room), n):
+            low = np.flatnonzero(bucket & (1 << flipped[-1]) == 0)  # each two buckets once
+            wanted = bucket[low] ^ sum(1 << bit for bit in flipped)
+            at = np.searchsorted(bucket, wanted)
+            found = bucket[np.minimum(at, len(bucket) - 1)] == wanted if len(bucket) else np.zeros(0, bool)
+            cross(low[found], at[found], False)
     if not edges:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
@@ -285,6 +298,8 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 
 
 def _members(prints: DataFrame, max_distance: int) -> DataFrame:
+    if max_distance > MAX_DISTANCE:
+        raise ValueError(f"max_distance is {MAX_DISTANCE} at most")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "fingerprint", "copies"), "distinct")
     places = distinct.select("doc_id", "fingerprint").mapInArrow(_place_batches, "place int, doc_id long, fingerprint binary")
     edges = places.repartition("place").sortWithinPartitions("place").mapInArrow(_edge_batches(max_distance), "a long, b long")
