@@ -152,6 +152,27 @@ def test_every_pair_that_brute_force_finds(spark):
     assert all(list(r.similarities) == sorted(r.similarities, reverse=True) for r in found)
 
 
+def test_pairs_by_their_most_common_features(spark):
+    """Documents alike by one filter of their chains, or by features that many others have as well."""
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 11))) for _ in range(n))
+    common, chapter = words(45), words(1340)
+    texts = [words(int(n)) + " " + common for n in rng.integers(110, 220, 50)] + [chapter + " " + words(3800) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = np.arange(P.LEVELS + 1)
+    all_ = list(P._digested(pa.array(texts), P.ranks(counts)))
+    assert min(n for n, *_ in all_) >= P.LEAST and max(len(f) for _, f, _ in all_) > P.FILTER_BYTES
+    want = set()
+    for j, (m, y, k) in enumerate(all_):
+        for i, (n, x, h) in enumerate(all_[:j]):
+            if np.intersect1d(h, k).size and P.similarity((n, x), (m, y)) >= P.ALIKE:
+                want.add((i, j))
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert {(r.doc_id, r.other_id) for r in P.matches(docs, counts, items).collect()} == want and {(50, 51), (52, 53)} <= want
+    links = Counter(x for pair in want for x in pair)
+    assert {r.doc_id: r.links for r in P.linked(docs, counts, items).collect()} == {i: links[i] for i in range(len(texts))}
+
+
 def test_linked_odd_rows(spark):
     text = " ".join(f"word{i * i}" for i in range(200))
     rows = [(1, None, 1), (2, "", 1), (3, "short", 1), (4, text, 1), (4, text, 1), (5, text, 1), (4, "short", 1), (None, text, 1), (6, text + " ".join(str(i**3) for i in range(90)), 1), (7, text * 300, 1)]

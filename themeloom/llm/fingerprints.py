@@ -13,7 +13,7 @@ chance would share, are set against the most that they could share. The mean of
 each filter's best value is the similarity, from 0 to 100.
 
 ``matches`` compares every document with every row of a benchmark, and with every
-other document that shares one of its rarer features; ``linked`` gives the same
+other document that shares any of its features; ``linked`` gives the same
 comparison as one row for each document, with its class and number of links.
 
 The corpus statistic is one histogram of entropies over all windows of all
@@ -327,15 +327,30 @@ def fingerprint(docs: DataFrame, counts: np.ndarray, reference: DataFrame | None
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of pairs with their digests side by side."""
+    """``a, b, similarity`` of pairs with their digests side by side: n, m features, of them size_n, size_m different and ``shared`` in both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.to_pydict()
-            value = [similarity((n, x), (m, y)) for n, x, m, y in zip(c["n"], c["x"], c["m"], c["y"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], ["a", "b", "similarity"])
-
-    return pairs.select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long, similarity double")
+            n, m, size_n, size_m, shared = (batch.column(c).to_numpy() for c in ("n", "m", "size_n", "size_m", "shared"))
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            # a short text in a longer one: all its features, by their hashes
+            mixed = (n < LEAST) != (m < LEAST)
+            value = np.where(mixed & (shared >= np.where(n < LEAST, size_n, size_m)), 100.0, 0.0)
+            # one filter each, as most have, all at once
+            one = np.array([len(i) == len(j) == FILTER_BYTES for i, j in zip(x, y, strict=True)], dtype=bool) & (np.minimum(n, m) > 0) & ~mixed
+            at = np.flatnonzero(one)
+            for k in np.split(at, range(4096, len(at), 4096)):
+                u, v = (_filters(b"".join(of[i] for i in k)) for of in (x, y))
+                nu, nv, both = (np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (u, v, u & v))
+                most = np.minimum(nu, nv)
+                chance = nu * nv / FILTER_BITS
+                cut = chance + FLOOR * (most - chance)
+                value[k] = 100 * np.clip((both - cut) / np.maximum(most - cut, 1e-9), 0, 1)
+            for i in np.flatnonzero(~one & ~mixed):
+                value[i] = similarity((int(n[i]), x[i]), (int(m[i]), y[i])) or 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value)], ["a", "b", "similarity"])
+
+    return pairs.select("a", "b", "n", "m", "size_n", "size_m", "shared", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _compared(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -358,24 +373,15 @@ def _compared(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least:
     groups = rows.groupBy("doc_id", "key", "n").agg(F.min("row").alias("row"))
     groups = stored(groups.select("row", "doc_id", F.min("doc_id").over(alike).alias("first"), (F.count("*").over(alike) - 1).alias("copies")), "groups")
 
-    firsts = rows.where(F.length("digest") > 0).join(groups.where("doc_id = first").select("row"), "row", "left_semi").select("doc_id", "n", "digest", "hashes")
-    owned = firsts.select("doc_id", "n", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
-    common = stored(owned.withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1"), "features")
-    # features of one document only meet nothing, but have the first places among its rarest
-    by = Window.partitionBy("doc_id")
-    place = F.col("size") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "hash"))
-    rare = common.withColumn("place", place).where((F.col("n") < LEAST) | (F.col("place") <= F.col("size") - F.ceil(FLOOR * F.col("size")) + 1))
-    x = rare.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("size").alias("asize"), "hash")
-    y = common.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("size").alias("bsize"), "hash")
-    met = x.join(y, "hash").where((F.col("asize") < F.col("bsize")) | (F.col("asize") == F.col("bsize")) & (F.col("a") < F.col("b")))
-    pairs = met.groupBy("a", "b").agg(F.first("an").alias("n"), F.first("bn").alias("m"), F.first("asize").alias("size"), F.count("*").alias("shared"))
-    pairs = stored(pairs, "pairs")
-    mixed = (F.col("n") < LEAST) != (F.col("m") < LEAST)
-    # all features of a short text in a longer one, by their hashes
-    inside = pairs.where(mixed & (F.col("n") < LEAST) & (F.col("shared") >= F.col("size"))).select("a", "b", F.lit(100.0).alias("similarity"))
-    digest = lambda id, to: firsts.select(F.col("doc_id").alias(id), F.col("digest").alias(to))
-    equals = _alike(pairs.where(~mixed).join(digest("a", "x"), "a").join(digest("b", "y"), "b"))
-    between = inside.unionByName(equals).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
+    # all documents that have any feature in common are compared; a feature of one row only needs no look at whose it is
+    owned = rows.select("row", F.explode("hashes").alias("hash")).withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1")
+    owned = owned.join(groups.where("doc_id = first").select("row"), "row", "left_semi")
+    # near copies have many features in common, but few different sets of documents that have one
+    owners = owned.groupBy("hash").agg(F.sort_array(F.collect_list("row")).alias("of")).where("size(of) > 1").groupBy("of").agg(F.count("*").alias("shared"))
+    met = owners.select(F.posexplode("of").alias("at", "p"), "of", "shared").select("p", F.explode(F.slice("of", F.col("at") + 2, F.size("of"))).alias("q"), "shared")
+    pairs = stored(met.groupBy("p", "q").agg(F.sum("shared").alias("shared")), "pairs")
+    digest = lambda row, id, n, size, x: rows.select(F.col("row").alias(row), F.col("doc_id").alias(id), F.col("n").alias(n), F.size("hashes").alias(size), F.col("digest").alias(x))
+    between = _alike(pairs.join(digest("p", "a", "n", "size_n", "x"), "p").join(digest("q", "b", "m", "size_m", "y"), "q")).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
     return rows, groups, between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
@@ -385,9 +391,9 @@ def matches(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least: fl
     Every document is compared with every item. Documents of equal digests are given
     as pairs with the lowest id of their group, at 100, and a group's pairs with other
     groups as pairs of the lowest ids, lower first: digests that are equal have equal
-    similarities. Of two documents the one with fewer different features must share one of its
-    rarest with the other: so many are taken that a pair that shares ``FLOOR`` of
-    them always does. A text with fewer than ``LEAST`` features is at 100 with a
+    similarities. All documents that have any feature in common are compared, however
+    common it is; without one, bits agree by chance only, and the documents aren't a
+    pair. A text with fewer than ``LEAST`` features is at 100 with a
     longer one that has them all. Repeated rows count once; rows without ``doc_id``
     are left out.
     """
