@@ -80,6 +80,15 @@ def test_near_duplicates(stages):
     assert bag(after, "doc_id", "text") == Counter(want) and gone and {9004, 9005} & gone and 9006 not in {r.doc_id for r in after if r.doc_id in gone}
 
 
+def test_near_duplicates_leave_no_pair_out(spark):
+    """More documents, so that some pairs are near the limit of distance."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    groups = brute_groups([r.doc_id for r in rows], [r.text for r in rows], simhash.MAX_DISTANCE)
+    gone = {x for k, v in groups.items() for x in v if x != k}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {r.doc_id for r in rows} - gone
+
+
 def test_secret_scan(stages):
     _, before, _, after = stages[2]
 
