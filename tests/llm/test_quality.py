@@ -75,6 +75,19 @@ def test_held_out_accuracy(spark):
     assert stay[rest.quality == 1].mean() > 0.995 and stay[rest.quality == 0].mean() < 0.03
 
 
+def test_every_labelled_row_counts(spark):
+    """Allowance and threshold are those of all labelled rows, more than the 8,000 of the former sample."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), i -> IF((id * i) % 7 = 3, '#', IF(id % 11 = 0, '$$ 12', concat('word', id % (i + 5)))))) AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id % 11 = 0, 0, 1) AS quality")
+    forest = Q.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").toPandas()
+    x, _ = Q.statistics(pa.array(rows.text))
+    good = rows.quality.to_numpy() > 0
+    assert np.allclose(forest.allowed, Q.allowance(x, good), rtol=1e-12)
+    assert forest.threshold == Q.calibrate(forest.score(forest.excess(x)), good)
+    assert Q.labelled_statistics(docs, labels).count() == 9000
+
+
 def test_odd_rows(spark):
     long = "word " * 100_000
     rows = [(1, None, 1.0), (2, "", 1.0), (3, "?!", 1.0), (None, "a good plain text here", 1.0), (4, "a good plain text here", 1.0), (4, "a good plain text here", None), (5, long, 1.0)]

@@ -2,9 +2,9 @@
 
 Every document gets the statistics in ``RULES``. The rows labelled good say how far
 each may go (``allowance``); a forest of random splits, fitted on the excess over
-that in a bounded sample of labelled rows, says by mean path length how easily it
-isolates a document; the threshold on that score comes from the labels of the same
-rows.
+that in all labelled rows, each tree on ``SUBSAMPLE`` of them as the method has it,
+says by mean path length how easily it isolates a document; the threshold on that
+score comes from the labels of all labelled rows.
 
 A null text, an empty one and one without any word are rejected outright. Very
 long texts are read whole. Ties in the score share one decision, as do repeated
@@ -14,20 +14,21 @@ document stays. Further columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import prefix_hash, slices, span_hash, sums, whole
+from .store import stored
+from .text import mix, prefix_hash, slices, span_hash, sums, whole
 
 RULES = ("symbols_per_word", "capital_words", "digits_per_byte", "repeated_neighbours", "most_frequent_word", "bytes_per_word", "short_words", "marks_per_word", "bars_per_word", "repeated_lines")
 #: A statistic counts by what it has beyond this centile of the good rows, taken so many times as far from their median.
 CENTILE, MARGIN = 99.8, 3.0
-SAMPLE, TREES, SUBSAMPLE = 8_000, 150, 256
+TREES, SUBSAMPLE = 150, 256
 #: A rejected good row weighs as much as so many bad rows let through.
 COST_OF_GOOD = 20.0
 #: Words by which the shares of a short document are drawn to zero.
@@ -152,11 +153,16 @@ def fit_forest(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE,
     """Random rule and random cut between its extremes, until rows are alone or the depth is that of a balanced tree."""
     rng = np.random.default_rng(seed)
     size = min(subsample, len(rows))
+    return _grown((rows[rng.choice(len(rows), size, replace=False)] for _ in range(trees)), size, trees, rng)
+
+
+def _grown(samples: Iterable[np.ndarray], size: int, trees: int, rng: np.random.Generator) -> Forest:
+    """A tree for each of the samples, of ``size`` rows each."""
     depth = int(np.ceil(np.log2(max(size, 2))))
     nodes = 2 ** (depth + 1) - 1
     rules, values = np.full((trees if size else 0, nodes), -1, dtype=np.int16), np.zeros((trees if size else 0, nodes))
-    for t in range(len(rules)):
-        todo = [(0, 0, rng.choice(len(rows), size, replace=False))]
+    for t, rows in zip(range(len(rules)), samples):
+        todo = [(0, 0, np.arange(size))]
         while todo:
             node, level, of = todo.pop()
             low, high = rows[of].min(axis=0) if len(of) else 0, rows[of].max(axis=0) if len(of) else 0
@@ -174,13 +180,19 @@ def fit_forest(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE,
 
 def calibrate(score: np.ndarray, good: np.ndarray, cost: float = COST_OF_GOOD) -> float:
     """The cut, midway between two scores, that maximises rejected bad rows less ``cost`` times rejected good ones (as shares); infinite if none is worth it."""
-    if not len(score) or good.all() or not good.any():
+    s, at = np.unique(score, return_inverse=True)  # ties are rejected together
+    n = np.bincount(at, weights=good, minlength=len(s))
+    return _cut(s, n, np.bincount(at, minlength=len(s)) - n, cost)
+
+
+def _cut(score: np.ndarray, good: np.ndarray, bad: np.ndarray, cost: float = COST_OF_GOOD) -> float:
+    """``calibrate`` from different scores, and how many good and bad rows have each."""
+    if not good.sum() or not bad.sum():
         return np.inf
-    order = np.argsort(-score, kind="stable")
-    s, g = score[order], good[order]
-    gain = np.cumsum(~g) / (~g).sum() - cost * np.cumsum(g) / g.sum()
-    last = np.append(s[1:] != s[:-1], True)  # ties are rejected together
-    best = int(np.argmax(np.where(last, gain, -np.inf)))
+    order = np.argsort(-score)
+    s, g, b = score[order], good[order], bad[order]
+    gain = np.cumsum(b) / b.sum() - cost * np.cumsum(g) / g.sum()
+    best = int(np.argmax(gain))
     if gain[best] <= 0:
         return np.inf
     return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else -np.inf
@@ -202,18 +214,76 @@ def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), values, batch.column(2).cast(pa.int32())], ["doc_id", "rules", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """The forest and its threshold, from at most ``sample`` labelled rows (``labels``: doc_id, quality 0 or 1)."""
-    rows = labelled_sample(docs, labels, "quality", sample).mapInArrow(_statistics_batches, "doc_id long, rules array<double>, label int").toPandas()
-    x = np.stack(rows["rules"]) if len(rows) else np.zeros((0, len(RULES)))
-    good = rows["label"].to_numpy() > 0
-    # the same order of rows wherever they come from
-    order = np.lexsort((*x.T, rows["doc_id"].to_numpy()))
-    x, good = x[order], good[order]
-    allowed = allowance(x, good)
-    forest = fit_forest(np.maximum(x - allowed, 0))
+def labelled_statistics(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> DataFrame:
+    """``doc_id, rules, label`` of all labelled rows, or of at most ``sample``; a document's largest label counts. No text is shuffled for all."""
+    kind = "doc_id long, rules array<double>, label int"
+    if sample is not None:
+        return labelled_sample(docs, labels, "quality", sample).mapInArrow(_statistics_batches, kind)
+    chosen = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") > 0).cast("int").alias("label"))
+    rows = docs.select(whole("doc_id"), "text", F.lit(0)).where("doc_id is not null").mapInArrow(_statistics_batches, kind).drop("label")
+    return rows.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "rules", "label")
+
+
+def _allowance(rows: DataFrame) -> np.ndarray:
+    """``allowance`` of a table, from the order of all good rows: narrow rows, a task for each statistic."""
+    n = rows.where("label > 0").count()
+    if not n:
+        return allowance(np.zeros((0, len(RULES))), np.zeros(0, bool))
+    at = [(n - 1) * q for q in (0.5, CENTILE / 100)]
+    wanted = sorted({int(f(x)) for x in at for f in (np.floor, np.ceil)})
+    values = rows.where("label > 0").select(F.posexplode("rules").alias("rule", "value")).groupBy("rule", "value").agg(F.count("*").alias("n"))
+    last = F.sum("n").over(Window.partitionBy("rule").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumn("last", last).where(" or ".join(f"{k} >= last - n and {k} < last" for k in wanted))
+    found = {(r.rule, k): r.value for r in values.collect() for k in wanted if r.last - r.n <= k < r.last}
+    of = lambda rule, x: found[rule, int(np.floor(x))] + (x % 1) * (found[rule, int(np.ceil(x))] - found[rule, int(np.floor(x))])
+    middle, far = (np.array([of(rule, x) for rule in range(len(RULES))]) for x in at)
+    return middle + MARGIN * (far - middle)
+
+
+def _draw_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tree the rows with the least hashes, as many as its sample has at most."""
+    keys, held = [np.zeros((TREES, 0), np.uint64)], [np.zeros((0, len(RULES)))]
+    tree = np.arange(1, TREES + 1, dtype=np.uint64)[:, None] << np.uint64(40)
+
+    def least() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, rows = np.concatenate(keys, axis=1), np.concatenate(held)
+        at = np.argsort(key, axis=1, kind="stable")[:, :SUBSAMPLE]
+        return key, rows, at
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            keys.append(mix(mix(part.column(0).to_numpy().view(np.uint64)) + tree))
+            held.append(part.column(1).flatten().to_numpy().reshape(-1, len(RULES)))
+            key, rows, at = least()
+            used = np.unique(at)
+            keys, held = [key[:, used]], [rows[used]]
+    key, rows, at = least()
+    for t in range(TREES):
+        values = pa.ListArray.from_arrays(pa.array(np.arange(at.shape[1] + 1, dtype=np.int32) * len(RULES)), pa.array(rows[at[t]].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(at.shape[1], t, np.int32)), pa.array(key[t, at[t]].view(np.int64)), values], ["tree", "key", "rules"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Forest:
+    """The forest and its threshold, from all labelled rows (``labels``: doc_id, quality 0 or 1), or from at most ``sample``.
+
+    The driver gets each tree's ``SUBSAMPLE`` rows, and how many good and bad rows have each score.
+    """
+    rows = stored(labelled_statistics(docs, labels, sample), "statistics")
+    allowed = _allowance(rows)
+    drawn = rows.select(F.xxhash64("doc_id", "rules", "label"), "rules").mapInArrow(_draw_batches, "tree int, key long, rules array<double>")
+    drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy("tree").orderBy("key", "rules"))).where(F.col("n") <= SUBSAMPLE).toPandas().sort_values(["tree", "n"])
+    samples = [np.maximum(np.stack(g["rules"]) - allowed, 0) for _, g in drawn.groupby("tree")]
+    forest = _grown(samples, len(samples[0]) if samples else 0, TREES, np.random.default_rng(0))
     forest.allowed = allowed
-    forest.threshold = calibrate(forest.score(forest.excess(x)), good)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, len(RULES))
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(forest.excess(x))), batch.column(1)], ["score", "label"])
+
+    counts = rows.select("rules", "label").mapInArrow(scored, "score double, label int").groupBy("score").agg(F.count_if(F.col("label") > 0).alias("good"), F.count_if(F.col("label") <= 0).alias("bad")).toPandas()
+    forest.threshold = _cut(*(counts[c].to_numpy() for c in ("score", "good", "bad")))
     return forest
 
 
