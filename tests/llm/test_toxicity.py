@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 from themeloom.llm import toxicity as T
+from themeloom.llm.quality import calibrate
 from themeloom.llm.text import mix
 
 SF = "/root/testdata/sf0.1"
@@ -103,3 +104,44 @@ def test_sample_is_bounded_by_rows(spark):
     rows = T.labelled_sample(docs, labels, "toxic", 50).collect()
     assert len(rows) == 50 == len({r.text for r in rows}) and {r.doc_id for r in rows} == {0, 1, 2}
     assert sorted(rows) == sorted(T.labelled_sample(docs.repartition(7), labels, "toxic", 50).collect())
+
+
+def test_all_labelled_rows_count(spark):
+    """Words that only rows beyond the first 6,000 of a hash have, and those of several parts; as the parts are put together, so are their scores."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('a nice day number ', id) AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id % 5 = 0, 1, 0) AS toxic")
+    first = {r.doc_id for r in T.labelled_sample(docs, labels, "toxic", 6000).collect()}
+    word = lambda i: ("zvorkum" if i in first else "plimbex") if i % 5 == 0 else "day"
+    docs = spark.createDataFrame([(i, f"a nice {word(i)} number {i % 50}") for i in range(9000)], "doc_id long, text string")
+    model = T.fit(docs, labels)
+    assert {r.doc_id for r in T.toxic_documents(docs, model).collect()} == set(range(0, 9000, 5))
+    again = T.fit(docs.repartition(7), labels)
+    assert (again.table == model.table).all() and (again.bias == model.bias).all() and again.threshold == model.threshold
+
+
+def test_rows_of_a_rare_class_go_to_every_part(spark, monkeypatch):
+    monkeypatch.setattr(T, "PART_ROWS", 100)
+    rows = [(i, "rotten stinker here" if i % 200 == 0 else f"a nice day number {i % 30}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.fit(docs, docs.selectExpr("doc_id", "IF(doc_id % 200 = 0, 1, 0) AS toxic"))
+    p = model.probability(pa.array(["rotten stinker here", "a nice day number 7"]))
+    assert p[1] < 0.5 < p[0]
+
+
+def test_threshold_is_that_of_all_scores(spark):
+    rng = np.random.default_rng(2)
+    bad = rng.random(3000) < 0.3
+    score = np.round(np.where(bad, rng.beta(6, 2, 3000), rng.beta(2, 6, 3000)), 3)
+    want = calibrate(score, ~bad)
+    assert T._threshold(spark.createDataFrame(list(zip(score.tolist(), bad.tolist())), "score double, toxic boolean")) == want and 0.5 < want < 1
+    assert T._threshold(spark.createDataFrame([(0.5, True)], "score double, toxic boolean")) == np.inf
+
+
+def test_map_of_ids_leaves_no_document_out(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("IF(id = 7, null, id) AS doc_id", "concat('text ', id) AS text")
+    ids = spark.range(0, 6000, 3).withColumnRenamed("id", "__id")
+    for bits, most in ((27, 2000), (13, 3000)):
+        monkeypatch.setattr(T, "MAP_BITS", bits)
+        rows = T._possible(docs, ids).collect()
+        got = {r.doc_id for r in rows}
+        assert got >= set(range(0, 5000, 3)) and len(rows) == len(got) < most and all(r.text == f"text {r.doc_id}" for r in rows)

@@ -12,8 +12,12 @@ with the n-grams that toxic documents have most often compared with clean ones)
 with others that it finds toxic, a clean one with its worst run and others drawn at
 random. A text with fewer words than a run is one shorter run.
 
-The classifier is fitted on at most ``SAMPLE`` labelled rows, the first in the
-order of a hash. A part of them is held out to set the threshold.
+All labelled rows count. One in ``HELD_OUT``, by a hash, is held out and sets the
+threshold; the others are dealt by a hash to parts that a task can hold, of about
+``PART_ROWS`` rows or ``PART_BYTES`` bytes, and each part trains embeddings and
+softmaxes. As a score is linear in the n-grams, the model is the mean of the parts'
+scores of each n-gram, over the parts that have met it. A part without one of the
+classes could learn nothing, so rows of a rare class go to several parts.
 
 Null and empty texts and those without any word have probability 0. Texts are
 read whole. Repeated rows are judged alike; ties in probability share one
@@ -30,26 +34,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .quality import calibrate, labelled_sample
+from .quality import COST_OF_GOOD, _cut, labelled_sample
+from .store import stored
 from .subwords import bounded_words, ngrams, word_scores
 from .text import prefix_hash, slices, span_hash, sums, whole
 
 RUNS, SIZES, BITS, DIM = (1, 4), (3, 4, 5, 6), 18, 10
-SAMPLE, EPOCHS, RATE, BATCH = 6_000, 12, 0.2, 256
+EPOCHS, RATE, BATCH = 12, 0.2, 256
+#: Training rows and their bytes of text in a part, about, and rows of each class in it at least, about.
+PART_ROWS, PART_BYTES, PART_CLASS = 2_500, 6 << 20, 20
 #: A run averages over so many n-grams at least, so that a short word isn't judged by a few.
 LEAST = 15
 #: One labelled row in so many is held out for the threshold.
 HELD_OUT = 4
+#: Bits of the map of ids that may have a label, at most: with more ids than a sixteenth of them, more texts are moved.
+MAP_BITS = 27
+#: Rows of the table of n-grams that a row of a Spark table has.
+CHUNK = 1 << 12
 
 
 @dataclass
 class Model:
-    """table: for each n-gram row, the difference of the two classes' scores, a column for each length of runs; bias: one for each length."""
+    """table: for each n-gram row, the difference of the two classes' scores, a column for each length of runs; bias: one for each length; seen: which rows the training texts have."""
 
     table: np.ndarray
     bias: np.ndarray
     threshold: float = np.inf
+    seen: np.ndarray | None = None
 
     def probability(self, column: pa.Array) -> np.ndarray:
         """The probability of the worst run of each text."""
@@ -199,17 +212,132 @@ def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model:
             step = np.stack([np.bincount(place, weights=back[of, d] / n[of], minlength=len(unique)) for d in range(DIM)], axis=1).astype(np.float32)
             squares[unique] += (step**2).mean(axis=1)
             embed[unique] -= RATE * step / np.sqrt(squares[unique, None])
-    return Model(np.stack([embed @ (w[:, 1] - w[:, 0]) for w in weight], axis=1), (bias[:, 1] - bias[:, 0]).astype(float))
+    return Model(np.stack([embed @ (w[:, 1] - w[:, 0]) for w in weight], axis=1), (bias[:, 1] - bias[:, 0]).astype(float), seen=np.bincount(rows, minlength=1 << BITS) > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model and its threshold from at most ``sample`` labelled rows (``labels``: doc_id, toxic 0 or 1)."""
-    rows = labelled_sample(docs, labels, "toxic", sample).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    text, toxic = rows["text"], rows["label"].to_numpy() > 0
-    held = np.arange(len(toxic)) % HELD_OUT == 0
-    model = train(text.filter(pa.array(~held)), toxic[~held])
-    score = model.probability(text.filter(pa.array(held)))
-    model.threshold = calibrate(score, ~toxic[held])
+def _possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all documents that are among ``ids`` (``__id``), and of few others, so that texts needn't be moved to find the rest."""
+    bits = min(MAP_BITS, max(13, int(16 * ids.count()).bit_length()))
+    at = lambda column: F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            marks = np.zeros((len(chunks), 1 << 13), dtype=bool)
+            marks[of, batch.column(1).to_numpy()] = True
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([np.packbits(m).tobytes() for m in marks], pa.binary())], ["chunk", "bits"])
+
+    where = at(F.col("__id"))
+    rows = ids.select(F.shiftright(where, 13).cast("int").alias("chunk"), where.bitwiseAND(F.lit((1 << 13) - 1)).cast("int").alias("at"))
+    known = np.zeros((1 << bits - 13, 1 << 10), dtype=np.uint8)
+    for r in rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(packed, "chunk int, bits binary").collect():
+        known[r["chunk"]] |= np.frombuffer(r["bits"], np.uint8)
+    known = known.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(2).to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array((known[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
+
+    rows = docs.select(whole("doc_id"), "text").where("doc_id is not null").withColumn("at", at(F.col("doc_id")))
+    return rows.mapInArrow(run, "doc_id long, text string")
+
+
+def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part (rows in order of part), the scores of the n-grams that it has met and, as chunk -1, its biases; with how often to count them."""
+
+    def trained(part: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        model = train(table["text"], table["toxic"].to_numpy())
+        seen = model.seen if model.seen is not None else np.zeros(len(model.table), bool)
+        values = np.column_stack([np.where(seen[:, None], model.table, 0), seen]).astype(np.float64).reshape(-1, CHUNK * (len(RUNS) + 1))
+        chunks = [np.append(model.bias, 1.0) * seen.any(), *values]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(chunks), part, np.int32)), pa.array(np.arange(-1, len(values), dtype=np.int32)), pa.array(chunks, pa.list_(pa.float32()))], ["part", "chunk", "values"])
+
+    now, held = -1, []
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and part[i] != now:
+                yield trained(now, held)
+                held = []
+            now = int(part[i])
+            held.append(batch.slice(i, j - i).select(["text", "toxic"]))
+    if held:
+        yield trained(now, held)
+
+
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each chunk over the parts, added in their order."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            values = values.values.to_numpy().astype(np.float64)
+            total[chunk] = total[chunk] + values if chunk in total else values
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["chunk", "values"])
+
+
+def _trained(rows: DataFrame, size: list) -> Model:
+    """The model of ``doc_id, text, toxic``, of which ``size`` has the number and bytes by class: the mean of what the parts have learnt."""
+    count = {r.toxic: r.n for r in size}
+    if len(count) < 2:
+        return Model(np.zeros((1 << BITS, len(RUNS)), np.float32), np.zeros(len(RUNS)))
+    parts = max(1, -(-sum(count.values()) // PART_ROWS), -(-sum(r.bytes or 0 for r in size) // PART_BYTES))
+    times = {toxic: min(parts, -(-PART_CLASS * parts // n)) for toxic, n in count.items()}
+    copy = F.explode(F.sequence(F.lit(0), F.when(F.col("toxic"), times[True]).otherwise(times[False]) - 1))
+    dealt = rows.withColumn("copy", copy).select(F.pmod(F.shiftright(F.xxhash64("doc_id", "text"), 8) + F.col("copy"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text", "toxic")
+    dealt = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "doc_id", "text").select("part", "text", "toxic")
+    learnt = dealt.mapInArrow(_train_batches, "part int, chunk int, values array<float>")
+    summed = learnt.repartition("chunk").sortWithinPartitions("chunk", "part").select("chunk", "values").mapInArrow(_sum_batches, "chunk int, values array<double>")
+    values = {r["chunk"]: np.array(r["values"]) for r in summed.toArrow().to_pylist()}
+    bias, table = values.pop(-1), np.concatenate([values[k] for k in sorted(values)]).reshape(1 << BITS, -1)
+    return Model((table[:, :-1] / np.maximum(table[:, -1:], 1)).astype(np.float32), bias[:-1] / max(bias[-1], 1))
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows with ``score`` instead of ``text``."""
+    at, others = rows.columns.index("text"), [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.probability(batch.column(at))), *(batch.column(c) for c in others)], ["score", *others])
+
+    return rows.mapInArrow(run, StructType([StructField("score", DoubleType()), *(rows.schema[c] for c in others)]))
+
+
+def _threshold(scores: DataFrame) -> float:
+    """``calibrate`` of all the rows ``score, toxic``."""
+    scores = stored(scores.select("score", "toxic"), "scores")
+    # below a score that more than one in COST_OF_GOOD good rows has, no cut is worth it, so those scores are one
+    low = scores.where("not toxic").agg(F.percentile_approx("score", 1 - 1.2 / COST_OF_GOOD, 10_000).alias("low")).first().low
+    score = F.when(F.col("score") < F.lit(low), -1.0).otherwise(F.col("score"))
+    counts = scores.groupBy(score.alias("score")).agg(F.count_if(~F.col("toxic")).alias("good"), F.count_if("toxic").alias("bad")).toPandas()
+    return _cut(*(counts[c].to_numpy() for c in ("score", "good", "bad")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
+    """The model and its threshold from all labelled rows (``labels``: doc_id, toxic 0 or 1), or from at most ``sample``.
+
+    A document's largest label counts, and each row of a repeated ``doc_id``. The
+    driver gets the model, which ids may have a label (``MAP_BITS``), and how many good
+    and bad held-out rows have each of the higher scores.
+    """
+    toxic = (F.col("label") > 0).alias("toxic")
+    if sample is not None:
+        rows = stored(labelled_sample(docs, labels, "toxic", sample).select("doc_id", "text", toxic), "labelled")
+        labelled = lambda x: x
+    else:
+        chosen = labels.where("toxic is not null").select(whole("doc_id"), "toxic").where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("label"))
+        chosen = stored(chosen.select("__id", toxic), "labels")
+        rows = _possible(docs, chosen)
+        labelled = lambda x: x.join(chosen.hint("merge"), F.col("doc_id") == F.col("__id")).drop("__id")
+    held = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD_OUT)) == 0
+    size = labelled(rows.where(~held).withColumn("bytes", F.octet_length("text")).drop("text")).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
+    model = _trained(labelled(rows.where(~held)).select("doc_id", "text", "toxic"), size)
+    model.threshold = _threshold(labelled(_scored(rows.where(held), model)))
     return model
 
 
