@@ -183,3 +183,45 @@ def test_linked_odd_rows(spark):
     assert {g[0] for g in got if g[3] == (7,)} == {4, 5, 6, 7}
     assert P.linked(docs.limit(0), P.histogram(docs.limit(0)), reference).count() == 0
     assert P.linked(docs, P.histogram(docs), reference.limit(0)).where("size(item_ids) > 0").count() == 0
+
+
+def test_meetings_leave_no_pair_out(spark, monkeypatch):
+    """Each pair with a common feature is compared once, whatever the lowest rows with its features are, also where meetings are cut."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 11))) for _ in range(n))
+    x, y, z, every = words(60), words(60), words(150), words(60)
+    # 1 and 2 both meet 0, each by another feature, and have one in common that 0 hasn't
+    texts = [f"{x} {y}", f"{words(5)} {x} {z}", f"{words(5)} {y} {z}", *(f"{words(int(n))} {every}" for n in rng.integers(20, 60, 40)), *(f"{words(30)} {t} {words(30)}" for t in (x, y, z))]
+    texts += [every[:n] for n in range(170, 300, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    counts = np.arange(P.LEVELS + 1)
+    all_ = list(P._digested(pa.array(texts), P.ranks(counts)))
+    want, mixed = set(), 0
+    for j, (m, v, k) in enumerate(all_):
+        for i, (n, u, h) in enumerate(all_[:j]):
+            same, short = np.intersect1d(h, k).size, h if n < P.LEAST else k
+            inside = (n < P.LEAST) != (m < P.LEAST) and same == np.unique(short).size
+            if same and (inside or (P.similarity((n, u), (m, v)) or 0) >= P.ALIKE):
+                want.add((i, j))
+                mixed += inside
+    lowest = [{h for h in all_[i][2] if h in all_[0][2]} for i in (1, 2)]
+    assert all(lowest) and not lowest[0] & lowest[1] and (1, 2) in want and len(want) > 700 and mixed > 40
+    links = Counter(i for pair in want for i in pair)
+    items = spark.createDataFrame([], "item_id long, text string")
+    for size in (P.MEETING, 9):
+        monkeypatch.setattr(P, "MEETING", size)
+        got = [(r.doc_id, r.other_id) for r in P.matches(docs, counts, items).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert {r.doc_id: r.links for r in P.linked(docs, counts, items).collect()} == {i: links[i] for i in range(len(texts))}
+
+
+def test_pairs_are_never_rows_of_a_shuffle(spark):
+    """Near copies are compared with each other where they meet: their number, not that of their pairs, is what is moved."""
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 11))) for _ in range(n))
+    common = words(150)
+    docs = spark.createDataFrame([(i, f"{words(40)} {common}") for i in range(300)], "doc_id long, text string")
+    rows, _, met = P._compared(docs, np.arange(P.LEVELS + 1), spark.createDataFrame([], "item_id long, text string"), P.ALIKE)
+    assert rows.count() == 300 and met.count() < 3 * 300
+    found = met.mapInArrow(P._link_batches(P.ALIKE), "a long, b long, links long").collect()
+    assert len(found) < 3 * 300 and sum(r.links for r in found) > 50 * 300

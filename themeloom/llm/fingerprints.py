@@ -10,7 +10,8 @@ features. Each sets ``HASHES`` bits of a Bloom filter of ``FILTER_BITS``; after
 Two digests are compared filter by filter: of the digest with fewer filters, each
 is held against all filters of the other, and the bits that both share, less what
 chance would share, are set against the most that they could share. The mean of
-each filter's best value is the similarity, from 0 to 100.
+each filter's best value is the similarity, from 0 to 100. Of two documents whose
+digests have equally many, it is taken over the filters of the lower ``doc_id``.
 
 ``matches`` compares every document with every row of a benchmark, and with every
 other document that shares any of its features; ``linked`` gives the same
@@ -48,6 +49,8 @@ FILTER_BYTES = FILTER_BITS // 8
 LEAST = 8
 #: Least similarity that ``matches`` reports.
 ALIKE = 21.0
+#: Documents of a meeting, or of each side of one, about; and pairs that are compared at once.
+MEETING, BLOCK = 4096, 1 << 16
 #: Share of a filter's possible overlap beyond chance that counts for nothing.
 FLOOR = 0.3
 _X = np.arange(WIDTH + 1, dtype=float)
@@ -326,35 +329,163 @@ def fingerprint(docs: DataFrame, counts: np.ndarray, reference: DataFrame | None
     return docs.select(whole("doc_id"), "text").mapInArrow(run, "doc_id long, features int, digest binary, nearest long, similarity double")
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of pairs with their digests side by side: n, m features, of them size_n, size_m different and ``shared`` in both."""
+def _common(lists: pa.ListArray, order: np.ndarray):
+    """A function that says which of the places from ``first`` on in this order of the lists have a value in common with the one at place ``k``."""
+    values, at, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    owner = np.repeat(place, lists.value_lengths().to_numpy())
+    # a column of bits for each list, one for each value that several have
+    number = np.cumsum(count > 1) - 1
+    owner, at = owner[count[at] > 1], number[at[count[at] > 1]]
+    bits = np.zeros((len(values) and int(number[-1]) // 64 + 1, len(order)), dtype=np.uint64)
+    np.bitwise_or.at(bits, (at >> 6, owner), np.uint64(1) << (at & 63).astype(np.uint64))
+
+    def common(k: int, first: int) -> np.ndarray:
+        used = np.flatnonzero(bits[:, k])
+        return (bits[used, first:] & bits[used, k, None]).any(axis=0)
+
+    return common
+
+
+def _meeting_pairs(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of one meeting that have a feature of it in common, and none of a meeting before it."""
+    side, part = rows.column("side").to_numpy(), rows.column("part")[0].as_py()
+    order = np.argsort(side, kind="stable")
+    # of a meeting of two sides only pairs across them
+    across = int((side == part["low"]).sum()) if part["low"] != part["high"] else None
+    own, before = _common(rows.column("own"), order), _common(rows.column("before"), order)
+    for k in range(len(side) if across is None else across):
+        first = k + 1 if across is None else across
+        j = order[first:][own(k, first) & ~before(k, first)]
+        yield np.full(len(j), order[k]), j
+
+
+def _similarities(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The similarity of each pair of positions."""
+    n, size = rows.column("n").to_numpy(), rows.column("size").to_numpy()
+    digest, probe = rows.column("digest"), rows.column("probe")
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    held = [digest[int(k)].as_py() for k in used]
+    x, y = at[: len(i)], at[len(i) :]
+    value = np.zeros(len(i))
+    # a short text in a longer one: all its features, by their hashes
+    mixed = (n[i] < LEAST) != (n[j] < LEAST)
+    hashes: dict[int, frozenset] = {}
+    for k in np.flatnonzero(mixed):
+        few, many = (i[k], j[k]) if n[i[k]] < LEAST else (j[k], i[k])
+        for r in (few, many):
+            if r not in hashes:
+                hashes[r] = frozenset(probe[int(r)].as_py())
+        if len(hashes[few]) == size[few] and hashes[few] <= hashes[many]:
+            value[k] = 100.0
+    # one filter each, as most have, all at once
+    single = np.array([len(h) == FILTER_BYTES for h in held], dtype=bool)
+    filters = np.zeros((len(held), FILTER_BYTES // 8), dtype=np.uint64)
+    filters[single] = _filters(b"".join(h for h in held if len(h) == FILTER_BYTES))
+    ones = np.bitwise_count(filters).sum(axis=1, dtype=np.int64)
+    one = single[x] & single[y] & ~mixed
+    at = np.flatnonzero(one)
+    for k in np.split(at, range(4096, len(at), 4096)):
+        nu, nv, both = ones[x[k]], ones[y[k]], np.bitwise_count(filters[x[k]] & filters[y[k]]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(nu, nv)
+        chance = nu * nv / FILTER_BITS
+        cut = chance + FLOOR * (most - chance)
+        value[k] = 100 * np.clip((both - cut) / np.maximum(most - cut, 1e-9), 0, 1)
+    # of chains as long as each other, the lower document's filters are averaged
+    ids = rows.column("doc_id").to_numpy()
+    for k in np.flatnonzero(~one & ~mixed):
+        first, second = sorted(((ids[i[k]], held[x[k]], int(n[i[k]])), (ids[j[k]], held[y[k]], int(n[j[k]]))))
+        value[k] = similarity((first[2], first[1]), (second[2], second[1])) or 0.0
+    return value
+
+
+def _alike(rows: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of all alike pairs of whole meetings, with their similarities, in blocks."""
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        value = _similarities(rows, i, j)
+        good = (value > 0) & (value >= least)
+        return i[good], j[good], value[good]
+
+    begin = _begins(rows)
+    held, count = [], 0
+    for first, stop in zip(begin, np.append(begin[1:], rows.num_rows), strict=True):
+        if stop - first < 2:
+            continue
+        for i, j in _meeting_pairs(rows.slice(first, stop - first).combine_chunks().to_batches()[0]):
+            held.append((i + first, j + first))
+            count += len(i)
+            if count >= BLOCK:
+                yield block()
+                held, count = [], 0
+    if count:
+        yield block()
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Where each meeting begins, in rows sorted by meeting."""
+    part = rows.column("part").combine_chunks()
+    key = np.stack([rows.column("unit").to_numpy(), part.field("low").to_numpy(), part.field("high").to_numpy()])
+    return np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+
+
+def _whole_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, sorted by meeting, so that no meeting is split."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = int(_begins(rows)[-1])
+            if last:
+                yield rows.slice(0, last).combine_chunks()
+            held = rows.slice(last)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _pair_batches(least: float):
+    """``a, b, similarity`` of all alike pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m, size_n, size_m, shared = (batch.column(c).to_numpy() for c in ("n", "m", "size_n", "size_m", "shared"))
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            # a short text in a longer one: all its features, by their hashes
-            mixed = (n < LEAST) != (m < LEAST)
-            value = np.where(mixed & (shared >= np.where(n < LEAST, size_n, size_m)), 100.0, 0.0)
-            # one filter each, as most have, all at once
-            one = np.array([len(i) == len(j) == FILTER_BYTES for i, j in zip(x, y, strict=True)], dtype=bool) & (np.minimum(n, m) > 0) & ~mixed
-            at = np.flatnonzero(one)
-            for k in np.split(at, range(4096, len(at), 4096)):
-                u, v = (_filters(b"".join(of[i] for i in k)) for of in (x, y))
-                nu, nv, both = (np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (u, v, u & v))
-                most = np.minimum(nu, nv)
-                chance = nu * nv / FILTER_BITS
-                cut = chance + FLOOR * (most - chance)
-                value[k] = 100 * np.clip((both - cut) / np.maximum(most - cut, 1e-9), 0, 1)
-            for i in np.flatnonzero(~one & ~mixed):
-                value[i] = similarity((int(n[i]), x[i]), (int(m[i]), y[i])) or 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value)], ["a", "b", "similarity"])
-
-    return pairs.select("a", "b", "n", "m", "size_n", "size_m", "shared", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+        for rows in _whole_meetings(batches):
+            ids = rows.column("doc_id").to_numpy()
+            for i, j, value in _alike(rows, least):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(value)], ["a", "b", "similarity"])
+
+    return run
+
+
+def _link_batches(least: float):
+    """``a, b, links``: of each document its number of links and the least id that these connect it with; ``links`` is null for pairs, which are given where a ``doc_id`` has several texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_meetings(batches):
+            ids, at = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)
+            several = rows.column("several").to_numpy()
+            links, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+            touched = np.zeros(len(ids), dtype=bool)
+            for i, j, _ in _alike(rows, least):
+                apart = at[i] != at[j]
+                i, j = i[apart], j[apart]
+                x, y, listed = at[i], at[j], several[i] | several[j]
+                links += np.bincount(np.append(x[~listed], y[~listed]), minlength=len(ids))
+                touched[x] = touched[y] = True
+                # the forest so far and the block's pairs
+                node = np.arange(len(ids))
+                root = components(len(ids), np.append(node, x), np.append(root, y))
+                if listed.any():
+                    x, y = x[listed], y[listed]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[np.minimum(x, y)]), pa.array(ids[np.maximum(x, y)]), pa.nulls(len(x), pa.int64())], ["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(ids[root[touched]]), pa.array(links[touched])], ["a", "b", "links"])
+
+    return run
 
 
 def _compared(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables for ``matches`` and ``linked``: digests with their items, groups of equal digests, and alike pairs of the groups' lowest ids."""
+    """Tables for ``matches`` and ``linked``: digests with their items, groups of equal digests, and meetings, sorted, of the groups' lowest ids."""
     item_ids, open_task = _reference(reference, ranks(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,23 +497,37 @@ def _compared(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "hashes", "items"])
 
     rows = docs.select(whole("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n int, digest binary, hashes array<long>, items array<struct<item_id: long, similarity: double>>")
-    # a digest by its own hash and a row by its number, so that only narrow rows are grouped
-    key = F.when(F.length("digest") > 0, F.sha2("digest", 256)).otherwise(F.concat(F.lit("none of "), "doc_id"))
-    rows = stored(rows.withColumns({"key": key, "row": F.monotonically_increasing_id()}), "fingerprints")
+    # a digest by its own hash and a row by its number, so that only narrow rows are grouped; the number is odd if the features are few
+    key = F.when(F.length("digest") > 0, F.unhex(F.sha2("digest", 256))).otherwise(F.encode(F.concat(F.lit("none of "), "doc_id"), "utf-8"))
+    rows = stored(rows.withColumns({"key": key, "row": F.monotonically_increasing_id() * 2 + (F.col("n") < LEAST).cast("long")}), "fingerprints")
     alike = Window.partitionBy("key", "n")
-    groups = rows.groupBy("doc_id", "key", "n").agg(F.min("row").alias("row"))
-    groups = stored(groups.select("row", "doc_id", F.min("doc_id").over(alike).alias("first"), (F.count("*").over(alike) - 1).alias("copies")), "groups")
-
-    # all documents that have any feature in common are compared; a feature of one row only needs no look at whose it is
-    owned = rows.select("row", F.explode("hashes").alias("hash")).withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1")
-    owned = owned.join(groups.where("doc_id = first").select("row"), "row", "left_semi")
-    # near copies have many features in common, but few different sets of documents that have one
-    owners = owned.groupBy("hash").agg(F.sort_array(F.collect_list("row")).alias("of")).where("size(of) > 1").groupBy("of").agg(F.count("*").alias("shared"))
-    met = owners.select(F.posexplode("of").alias("at", "p"), "of", "shared").select("p", F.explode(F.slice("of", F.col("at") + 2, F.size("of"))).alias("q"), "shared")
-    pairs = stored(met.groupBy("p", "q").agg(F.sum("shared").alias("shared")), "pairs")
-    digest = lambda row, id, n, size, x: rows.select(F.col("row").alias(row), F.col("doc_id").alias(id), F.col("n").alias(n), F.size("hashes").alias(size), F.col("digest").alias(x))
-    between = _alike(pairs.join(digest("p", "a", "n", "size_n", "x"), "p").join(digest("q", "b", "m", "size_m", "y"), "q")).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
-    return rows, groups, between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    groups = rows.select("doc_id", "key", "n", "row").repartition("key", "n").groupBy("doc_id", "key", "n").agg(F.min("row").alias("row"))
+    groups = groups.select("row", "doc_id", F.min("doc_id").over(alike).alias("first"), (F.count("*").over(alike) - 1).alias("copies"))
+    groups = stored(groups.withColumn("several", F.count("*").over(Window.partitionBy("doc_id")) > 1), "groups")
+
+    # All documents that have any feature in common are compared. They meet at the lowest row that has the feature:
+    # near copies have many features in common, and most of these have the same lowest row. A row goes to each of its
+    # meetings once, so that no pair is ever a row of a table.
+    owner = Window.partitionBy("hash")
+    owned = rows.select("row", F.explode("hashes").alias("hash"))
+    owned = owned.select("row", "hash", F.count("*").over(owner).alias("df"), F.min("row").over(owner).alias("unit"), F.max(F.col("row") % 2).over(owner).alias("few"))
+    owned = owned.where("df > 1").select("row", "hash", "unit", "few").repartition("row").groupBy("row")
+    # probe has what a text of few features may have in common with this one
+    owned = owned.agg(F.collect_list(F.struct("hash", "unit")).alias("of"), F.collect_list(F.when(F.col("few") == 1, F.col("hash"))).alias("probe"))
+    shared = owned.join(groups.where("doc_id = first").select("row", "several"), "row").join(rows.select("row", "doc_id", "n", F.size("hashes").alias("size"), "digest"), "row")
+    shared = stored(shared.withColumn("units", F.array_distinct("of.unit")), "shared")
+    # a large meeting is cut into sides, and each two of them meet
+    large = shared.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.ceil(F.count("*") / MEETING).alias("sides")).where("sides > 1")
+    place = {
+        "own": F.transform(F.filter("of", lambda x: x["unit"] == F.col("unit")), lambda x: x["hash"]),
+        "before": F.transform(F.filter("of", lambda x: x["unit"] < F.col("unit")), lambda x: x["hash"]),
+        "side": F.coalesce(F.pmod(F.xxhash64("row"), "sides"), F.lit(0).cast("long")),
+    }
+    met = shared.withColumn("unit", F.explode("units")).join(F.broadcast(large), "unit", "left").withColumns(place)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("sides", F.lit(1).cast("long")) - 1)))
+    met = met.withColumn("part", F.struct(F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")))
+    met = met.select("unit", "part", "side", "doc_id", "several", "n", "size", "digest", "own", "before", "probe")
+    return rows, groups, met.repartition("unit", "part").sortWithinPartitions("unit", "part")
 
 
 def matches(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least: float = ALIKE) -> DataFrame:
@@ -397,21 +542,13 @@ def matches(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least: fl
     longer one that has them all. Repeated rows count once; rows without ``doc_id``
     are left out.
     """
-    rows, groups, between = _compared(docs, counts, reference, least)
+    rows, groups, met = _compared(docs, counts, reference, least)
+    between = met.mapInArrow(_pair_batches(least), "a long, b long, similarity double")
     with_items = rows.select("doc_id", F.explode("items").alias("i")).select("doc_id", F.lit("item").alias("kind"), F.col("i.item_id").alias("other_id"), "i.similarity").distinct()
     copies = groups.where("doc_id > first").select("doc_id", F.lit("document").alias("kind"), F.col("first").alias("other_id"), F.lit(100.0).alias("similarity"))
     return with_items.unionByName(copies).unionByName(between.select(F.col("a").alias("doc_id"), F.lit("document").alias("kind"), F.col("b").alias("other_id"), "similarity"))
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect what the pairs of a batch connect: one for each node but the least of its component."""
-    for batch in batches:
-        ids, at = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
-        root = components(len(ids), at[: batch.num_rows], at[batch.num_rows :])
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
-
-
 def linked(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least: float = ALIKE) -> DataFrame:
     """``doc_id, features, class_id, copies, links, item_ids, similarities``: a row for each document, however many it resembles.
 
@@ -423,10 +560,12 @@ def linked(docs: DataFrame, counts: np.ndarray, reference: DataFrame, least: flo
     row for each, with the links of all of them if it is the lowest of their groups;
     repeated rows count once, and rows without ``doc_id`` are left out.
     """
-    rows, groups, between = _compared(docs, counts, reference, least)
-    between = stored(between.select("a", "b").where("a <> b").distinct(), "links")
-    links = between.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
-    roots = connected(between.mapInArrow(_forest, "a long, b long")).select(F.col("node").alias("first"), "root")
+    rows, groups, met = _compared(docs, counts, reference, least)
+    met = stored(met.mapInArrow(_link_batches(least), "a long, b long, links long"), "links")
+    # texts of one doc_id may be alike to the same document, which counts once
+    listed = met.where("links is null").select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("first"), F.lit(1).cast("long").alias("links"))
+    links = met.where("links is not null").select(F.col("a").alias("first"), "links").unionAll(listed).groupBy("first").agg(F.sum("links").alias("links"))
+    roots = connected(met.where("links is not null").select("a", "b")).select(F.col("node").alias("first"), "root")
     items = F.array_sort("items", lambda x, y: F.when(x["similarity"] > y["similarity"], -1).when(x["similarity"] < y["similarity"], 1).otherwise(F.signum(x["item_id"] - y["item_id"]).cast("int")))
     out = rows.select("row", F.col("n").alias("features"), items.alias("items")).join(groups, "row")
     out = out.join(links, "first", "left").join(roots, "first", "left")
